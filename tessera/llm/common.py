@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
+_OWN: list[str] = []  # the folder used where spark.checkpoint.dir is unset
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark, "_tessera_shared", None)
-        if not found:
-            found = spark._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="tessera-")]
+        found = _OWN[0]
     return found.rstrip("/")
 
 
