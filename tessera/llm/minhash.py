@@ -9,13 +9,13 @@
 3. Round one compares the members of each bucket with two centres, its smallest and largest id: as many pairs as
    members.  Pairs pass the size bound, the share of equal minima (0.8 less five standard errors), then the exact
    check on the full sets; the links found give components.
-4. Round two looks at buckets whose members are in several components: the members outside the bucket's largest
-   component are compared with the members of other components.  A link between two of one component is no news, so
-   with that no link between different components is lost.
+4. Round two looks at buckets whose members are in several components and compares members of different components:
+   inside the bucket, block by block, or, where a large component is one side, with that component's members, block
+   by block.  A link between two of one component is no news, so no link between different components is lost.
 5. Components by alternating large-star and small-star over all links.
 
-No bucket is gathered in one task: all steps are aggregations with partial sums, or equi-joins whose large partitions
-adaptive execution splits.  Texts travel only for members of buckets with several members.
+No bucket is gathered in one task: all steps are comparisons of bounded blocks, aggregations with partial sums, or
+equi-joins whose large partitions adaptive execution splits.  Texts travel only for members of buckets with several members.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows that share a
 doc_id are one document; rows with a null doc_id are linked with nothing and their component_id is null; extra columns
@@ -37,6 +37,7 @@ from tessera.llm.components import components
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
+LARGE, X_BLOCK, Y_BLOCK, BLOCK = 32, 512, 256, 1024  # classes from which a component counts as large; block sizes
 MARGIN = 5 * (0.8 * 0.2 / HASHES) ** 0.5
 _draw = np.random.default_rng(7919)
 _A = _draw.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +126,98 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _alike(some: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket and different components whose minima allow the similarity.
+
+    some: k, id, c, m (members of the bucket).  Buckets are compared in blocks of BLOCK members: the pairs of blocks i
+    and j in group (i, j), so that a task holds two blocks at most and pairs that aren't alike never become rows.
+    """
+    least = threshold / 100 - MARGIN
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")
+    dealt = some.select("k", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c").join(classes.select("id", "n", "minima"), "id")
+
+    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
+        i, j = rows[0]["i"], rows[0]["j"]
+        xs = [r for r in rows if r["own"] == i]
+        ys = xs if i == j else [r for r in rows if r["own"] == j]
+        if len(rows) < 2 or not ys:
+            return []
+        table = lambda rs: np.frombuffer(b"".join(r["minima"] for r in rs), np.uint16).reshape(-1, HASHES)
+        my, cy, ny, out = table(ys), np.array([r["c"] for r in ys]), np.array([r["n"] for r in ys]), []
+        for at, (x, mine) in enumerate(zip(xs, table(xs), strict=True)):
+            first = at + 1 if i == j else 0
+            fits = (cy[first:] != x["c"]) & (np.minimum(ny[first:], x["n"]) * 100 >= np.maximum(ny[first:], x["n"]) * threshold)
+            near = np.flatnonzero(fits)
+            near = near[(my[first:][near] == mine).mean(1) >= least] if len(near) else near
+            out += [(min(x["id"], y), max(x["id"], y)) for y in (ys[first + k]["id"] for k in near.tolist()) if x["id"] != y]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, seen = None, [], set()
+
+        def flush(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            fresh = [p for p in dict.fromkeys(found) if p not in seen]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)], ["a", "b"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                key = (r["k"], r["i"], r["j"])
+                if key != last and rows:
+                    yield from flush(pairs(rows))
+                    rows = []
+                last = key
+                rows.append(r)
+        if rows:
+            yield from flush(pairs(rows))
+
+    together = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "id")
+    return together.select("k", "i", "j", "own", "id", "c", "n", "minima").mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_components(asked: DataFrame, found: DataFrame, sizes: DataFrame, classes: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links (a, b) of documents x with members of components c, for the rows (x, c) of asked.
+
+    Members and documents of a component are dealt into blocks of bounded size and each pair of blocks is compared in
+    one task, so a component's pairs never become rows.  A document that is linked with a block needs no more of it.
+    """
+    least = threshold / 100 - MARGIN
+    cuts = asked.groupBy("c").agg(F.ceil(F.count("*") / X_BLOCK).cast("int").alias("xs")).join(sizes.where(F.col("size") > LARGE).withColumnRenamed("component", "c"), "c")
+    cuts = cuts.select("c", "xs", F.ceil(F.col("size") / Y_BLOCK).cast("int").alias("ys"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = classes.select("id", "n", "minima").join(texts, "id")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    xs = asked.join(cuts, "c").select("c", F.col("x").alias("id"), F.pmod(F.xxhash64("x"), F.col("xs")).cast("int").alias("xb"), upto("ys").alias("yb")).join(full, "id").select("c", "xb", "yb", "id", "minima", "text")
+    ys = found.withColumnRenamed("component", "c").join(cuts, "c").select("c", "id", upto("xs").alias("xb"), dealt("ys").alias("yb")).join(full, "id").select(*[F.col(n).alias(n) for n in ("c", "xb", "yb", "id", "minima", "text")])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            mx, my = (np.frombuffer(b"".join(t["minima"].to_pylist()), np.uint16).reshape(-1, HASHES) for t in (x, y))
+            ids, sets = y["id"].to_pylist(), [shingles(t, size) for t in y["text"].to_pylist()]
+            for i, (own, text) in enumerate(zip(x["id"].to_pylist(), x["text"].to_pylist(), strict=True)):
+                alike = (my == mx[i]).mean(1)
+                mine = None
+                for j in np.argsort(-alike, kind="stable").tolist():
+                    if alike[j] < least:
+                        break
+                    mine = shingles(text, size) if mine is None else mine
+                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if 100 * both >= threshold * (len(mine) + len(sets[j]) - both):
+                        a.append(own)
+                        b.append(ids[j])
+                        break
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    keys = ["c", "xb", "yb"]
+    return xs.groupBy(*keys).cogroup(ys.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
 def _ordered(x: str, y: str, pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -150,15 +243,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     links = written(_linked(written(_similar(tried, banded, threshold), "similar"), texts, size, threshold), "links")
     found = written(components(links), "found")
 
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     inside = members.select("k", "id").join(found, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
-    inside = written(inside, "inside")
-    counts = inside.groupBy("k", "c").agg(F.count("*").alias("m"))
-    mixed = counts.groupBy("k").agg(F.count("*").alias("kinds"), F.max(F.struct("m", "c")).alias("most")).where("kinds > 1").select("k", F.col("most.c").alias("most"))
+    inside = written(inside.join(sizes, F.col("c") == F.col("component"), "left").select("k", "id", "c", (F.coalesce("size", F.lit(1)) > LARGE).alias("large")), "inside")
+    kinds = inside.groupBy("k", "c", "large").agg(F.count("*").alias("m"))
+    mixed = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("large"), 0).otherwise(F.col("m"))).alias("m")).where("kinds > 1").select("k", "m")
     some = written(inside.join(mixed, "k"), "mixed")
-    outside = some.where("c <> most").select("k", F.col("id").alias("x"), F.col("c").alias("cx"))
-    across = outside.join(some.select("k", F.col("id").alias("y"), F.col("c").alias("cy")), "k").where("cx <> cy")
-    more = written(_ordered("x", "y", across).join(tried, ["a", "b"], "left_anti"), "pairs")
-    again = written(_linked(written(_similar(more, banded, threshold), "similar"), texts, size, threshold), "links")
+    more = written(_alike(some.where("NOT large"), banded, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    again = written(_linked(more, texts, size, threshold), "links")
+    large = some.where("large").select("k", F.col("c").alias("cy")).distinct()
+    to_large = some.join(large, "k").where("c <> cy AND (NOT large OR c < cy)").select(F.col("id").alias("x"), F.col("cy").alias("c"))
+    to_large = written(to_large.distinct(), "to-large")
+    if not to_large.isEmpty():
+        again = again.unionByName(written(_with_components(to_large, found, sizes, banded, texts, size, threshold), "links"))
     for x in (members, inside, some, texts, tried, more):
         dropped(x)
     if not again.isEmpty():
