@@ -176,7 +176,7 @@ def _slices(texts: list[str | None], rows: np.ndarray, chars: int = 4_000_000) -
 
 def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language: int = 24_000, max_languages: int = 16) -> Model:
     """Fits a model on a bounded sample of labelled (doc_id, lang, text)."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not counts:
         return Model({})
@@ -195,21 +195,30 @@ def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language:
     return Model(texts)
 
 
-def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the carried columns, one row per input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    name = uuid.uuid4().hex
-    src = docs.select("doc_id", "text", *carry)
-    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text" or "text" in carry]
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, one row per input row."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared, name)
         for b in batches:
             langs, scores = own.predict(b.column(1).to_pylist())
-            cols = [b.column(0), *[b.column(i + 2) for i in range(len(carry))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return src.mapInArrow(run, ", ".join([*out, "lang_pred string", "score double"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is known (not ``und``), all columns as they were."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(shared, name)
+        for b in batches:
+            yield b.filter(pa.array([x != "und" for x in own.predict(b.column(at).to_pylist())[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 _MODELS: dict[str, Model] = {}

@@ -229,20 +229,22 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def strip(docs: DataFrame) -> DataFrame:
     """docs without the repeated bytes; characters cut in two go too, and n_chars (if there) counts what is left."""
-    schema = docs.schema
-    names = docs.columns
+    schema, names = docs.schema, docs.columns
     at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t.as_py() is None else _rest(t.as_py(), r.as_py())[0].decode("utf-8", "ignore") for t, r in zip(b.column(at), b.column(len(names)), strict=True)]
-            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            if "n_chars" in names:
-                cols[names.index("n_chars")] = pa.array([len(t or "") for t in texts], pa.int64()).cast(b.column(names.index("n_chars")).type)
+            cols = b.column(0).flatten()
+            texts = [None if t is None else _rest(t.encode(), r.as_py())[0].decode("utf-8", "ignore") for t, r in zip(cols[at].to_pylist(), b.column(1), strict=True)]
+            cols[at] = pa.array(texts, pa.string())
+            if chars >= 0:
+                cols[chars] = pa.array([len(t or "") for t in texts], pa.int64()).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")}).withColumn("text", F.col("text").cast("binary"))
-    return _with_ranges(keyed, repeated(docs.select("doc_id", "text")), ("lo", "hi"), "left").select(*names, "ranges").mapInArrow(run, schema)
+    rows = docs.select(F.struct(*names).alias("row"))
+    keyed = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("row.text").alias("th"))
+    return _with_ranges(keyed, repeated(docs.select("doc_id", "text")), ("lo", "hi"), "left").select("row", "ranges").mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
