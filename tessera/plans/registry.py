@@ -1,6 +1,279 @@
-"""The queries over the driver tables, and their SQL."""
+"""The queries over the driver tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.storage import written
+from tessera.operators import blocks, graph, influence, ranges, truss
+from tessera.operators.components import component_members, components
+from tessera.plans import workloads as w
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+K, P = 3, 2  # triangles per edge and components per influencer in the graph queries
+CAP = w.M * w.M
+CORE = 8  # least degree in the core query
+SWEEP = (1, 8)
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- ranges
+
+CLASSIFIED = f"""keys AS ({w.KEYS_SQL}), ranges AS ({w.RANGES_SQL}),
+c AS (SELECT k.pos, any_value(k.key) AS key, cast(coalesce(min(r.range_id), 0) AS INTEGER) AS range_id FROM keys k LEFT JOIN ranges r ON k.key BETWEEN r.lo AND r.hi GROUP BY k.pos),
+h AS (SELECT cast(i AS INTEGER) AS range_id, (SELECT count(*) FROM c WHERE c.range_id = i) AS cnt FROM range(0, {w.N_RANGES + 1}) t(i))"""
+
+
+def _classified(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    return ranges.classify(w.keys(spark, sf_dir), w.ranges(spark), strict)
+
+
+@_query(f"WITH {CLASSIFIED} SELECT pos, key, range_id FROM c")
+def range_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir)
+
+
+@_query(
+    f"WITH keys AS ({w.KEYS_SQL}), ranges AS ({w.RANGES_SQL}) SELECT k.pos, any_value(k.key) AS key, cast(coalesce(min(r.range_id), 0) AS INTEGER) AS range_id "
+    "FROM keys k LEFT JOIN ranges r ON r.lo < k.key AND k.key < r.hi GROUP BY k.pos"
+)
+def range_strict_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, strict=True)
+
+
+@_query(f"WITH {CLASSIFIED} SELECT range_id, cnt FROM h")
+def range_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.histogram(_classified(spark, sf_dir), w.N_RANGES)
+
+
+@_query(
+    f"WITH {CLASSIFIED} SELECT range_id, cnt, cast(sum(cnt) OVER (ORDER BY range_id) - cnt AS BIGINT) AS start_offset, cast(sum(cnt) OVER (ORDER BY range_id) AS BIGINT) AS end_offset FROM h"
+)
+def range_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.offsets(ranges.histogram(_classified(spark, sf_dir), w.N_RANGES))
+
+
+@_query(f"WITH {CLASSIFIED} SELECT row_number() OVER (ORDER BY range_id, pos) - 1 AS slot, pos, key, range_id FROM c")
+def range_partition_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.partition_sort(_classified(spark, sf_dir))
+
+
+@_query()
+def range_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation and region keys as ends: order-dependent admission of a small list."""
+    pairs = w.load(spark, sf_dir, "nation").orderBy("n_nationkey").select((F.col("n_regionkey") * 7).alias("lo"), (F.col("n_regionkey") * 7 + F.col("n_nationkey") + 1).alias("hi"))
+    return ranges.ranges_frame(spark, ranges.admit((r["lo"], r["hi"]) for r in pairs.collect()))
+
+
+# ---- block matrices
+
+
+@_query(f"WITH a AS ({w.A_SQL}), b AS ({w.B_SQL}) SELECT i, j, cast(least(sum(x * y), {blocks.U32}) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY i, j")
+def bm_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.multiply(w.matrix_a(spark, sf_dir), w.matrix_b(spark, sf_dir))
+
+
+@_query(f"WITH a AS ({w.A_SQL}), b AS ({w.B_SQL}) SELECT i, j, cast(min(x + y) AS BIGINT) AS v FROM a JOIN b USING (k) GROUP BY i, j")
+def bm_semiring_minplus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.multiply(w.matrix_a(spark, sf_dir), w.matrix_b(spark, sf_dir), "min_plus", cap=None)
+
+
+SQUARE = f"s AS ({w.S_SQL}), q AS (SELECT a.i, b.i AS j, cast(least(sum(a.x * b.x), {blocks.U16}) AS BIGINT) AS v FROM s a JOIN s b ON a.k = b.k AND a.i // {w.M} <= b.i // {w.M} GROUP BY 1, 2)"
+
+
+@_query(f"WITH {SQUARE} SELECT i, j, v FROM q WHERE v <> 0")
+def bm_square_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.square_upper(w.symmetric(spark, sf_dir), w.M)
+
+
+def _coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.symmetric(spark, sf_dir).select("i", F.col("k").alias("j"), F.col("x").alias("v"))
+
+
+@_query(
+    f"WITH s AS ({w.S_SQL}), b AS (SELECT DISTINCT i // {w.M} AS br, k // {w.M} AS bc FROM s WHERE x <> 0) "
+    f"SELECT cast(br AS INTEGER) AS brow, cast(bc AS INTEGER) AS bcol, cast(p AS INTEGER) AS p, coalesce(s.x, 0) AS v "
+    f"FROM b CROSS JOIN range({CAP}) t(p) LEFT JOIN s ON s.i = br * {w.M} + p // {w.M} AND s.k = bc * {w.M} + p % {w.M}"
+)
+def bm_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_blocks(_coo(spark, sf_dir), w.M).select("brow", "bcol", F.posexplode("data").alias("p", "v"))
+
+
+@_query(f"WITH s AS ({w.S_SQL}) SELECT i, k AS j, x AS v FROM s WHERE x <> 0")
+def bm_to_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blocks.to_blocks(_coo(spark, sf_dir), w.M), w.M)
+
+
+@_query(f"WITH h AS ({w.WEIGHTED_SQL}) SELECT u AS i, v AS j, w AS v FROM h UNION ALL SELECT v, u, w FROM h")
+def bm_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.mirror(w.weighted(spark, sf_dir).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("v")))
+
+
+@_query(f"WITH s AS ({w.S_SQL}) SELECT DISTINCT cast(i // {w.M} AS INTEGER) AS brow, cast(k // {w.M} AS INTEGER) AS bcol FROM s WHERE x <> 0")
+def bm_nonzero_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.nonzero_blocks(_coo(spark, sf_dir), w.M)
+
+
+@_query(
+    f"WITH s AS ({w.S_SQL}), b AS (SELECT DISTINCT i // {w.M} AS brow, k // {w.M} AS bcol FROM s WHERE x <> 0), n AS (SELECT max(p_partkey) // {w.M} + 1 AS n FROM part) "
+    "SELECT cast(r AS INTEGER) AS brow, (SELECT count(*) FROM b WHERE b.brow < r) AS ptr FROM (SELECT unnest(range(0, n + 1)) AS r FROM n)"
+)
+def bm_csr_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = w.vertices(spark, sf_dir).agg(F.max("id")).first()[0]
+    return blocks.csr_index(blocks.nonzero_blocks(_coo(spark, sf_dir), w.M), top // w.M + 1)
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A matrix, and one whose diagonal band differs: weights of neighbouring parts are one more."""
+    coo = _coo(spark, sf_dir)
+    return coo, coo.withColumn("v", F.col("v") + F.when(F.abs(F.col("i") - F.col("j")) < 100, 1).otherwise(0))
+
+
+@_query(f"WITH s AS ({w.S_SQL}) SELECT i, k AS j, x AS left_v, x + 1 AS right_v FROM s WHERE abs(i - k) < 100")
+def bm_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.diff(*_changed(spark, sf_dir))
+
+
+@_query(
+    f"WITH s AS ({w.S_SQL}), b AS (SELECT i // {w.M} AS br, k // {w.M} AS bc, max(abs(i - k) < 100) AS bad FROM s GROUP BY 1, 2) "
+    "SELECT count(*) FILTER (NOT bad) / count(*) AS score FROM b"
+)
+def bm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _changed(spark, sf_dir)
+    return blocks.score(blocks.to_blocks(a, w.M), blocks.to_blocks(b, w.M))
+
+
+# ---- graphs
+
+E = f"SELECT u, v FROM ({w.WEIGHTED_SQL})"
+TRIANGLES = f"e AS ({E}), tr AS MATERIALIZED (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v)"
+SIDES = "SELECT a AS u, b AS v FROM tr UNION ALL SELECT a, c FROM tr UNION ALL SELECT b, c FROM tr"
+DEGREES = "d AS (SELECT id, count(*) AS degree FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id)"
+#: Edges that survive in the k-truss: rounds of deletion, 60 being more than any of these graphs needs.
+TRUSS = """RECURSIVE {tri},
+tt AS MATERIALIZED (SELECT a AS p, b AS q, a AS x1, c AS y1, b AS x2, c AS y2 FROM tr UNION ALL SELECT a, c, a, b, b, c FROM tr UNION ALL SELECT b, c, a, b, a, c FROM tr),
+loop(it, u, v) AS (SELECT 0, u, v FROM e UNION ALL
+  SELECT it + 1, u, v FROM (SELECT l.it, l.u, l.v, count(*) AS s FROM loop l JOIN tt t ON t.p = l.u AND t.q = l.v
+    JOIN loop l1 ON l1.u = t.x1 AND l1.v = t.y1 JOIN loop l2 ON l2.u = t.x2 AND l2.v = t.y2 GROUP BY 1, 2, 3)
+  WHERE s >= {k} AND it < 60),
+f AS MATERIALIZED (SELECT u, v FROM loop WHERE it = 60)"""
+
+
+def _truss_sql(k: int = K) -> str:
+    return TRUSS.format(tri=TRIANGLES, k=k)
+
+
+LABELS = """s AS MATERIALIZED (SELECT u, v FROM f UNION ALL SELECT v, u FROM f),
+reach(id, c) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, l.c FROM reach l JOIN s ON s.u = l.id WHERE l.c < s.v),
+labels AS MATERIALIZED (SELECT id, min(c) AS component FROM reach GROUP BY id)"""
+TOUCHED = """near AS (SELECT u AS id, v AS n FROM e UNION ALL SELECT v, u FROM e UNION ALL SELECT p_partkey, p_partkey FROM part),
+touched AS MATERIALIZED (SELECT DISTINCT near.id, component FROM near JOIN labels ON labels.id = near.n),
+counts AS (SELECT p_partkey AS id, (SELECT count(*) FROM touched t WHERE t.id = p_partkey) AS n_components FROM part)"""
+
+
+@_query(f"WITH e AS ({E}), {DEGREES} SELECT p_partkey AS id, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON d.id = p_partkey")
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree(w.edges(spark, sf_dir), w.vertices(spark, sf_dir))
+
+
+@_query(
+    f"""WITH RECURSIVE e AS ({E}), loop(it, u, v) AS (SELECT 0, u, v FROM e UNION ALL
+  SELECT l.it + 1, l.u, l.v FROM loop l JOIN (SELECT id FROM (SELECT u AS id FROM loop UNION ALL SELECT v FROM loop) GROUP BY id HAVING count(*) >= {CORE}) a ON a.id = l.u
+    JOIN (SELECT id FROM (SELECT u AS id FROM loop UNION ALL SELECT v FROM loop) GROUP BY id HAVING count(*) >= {CORE}) b ON b.id = l.v WHERE it < 60)
+SELECT u, v FROM loop WHERE it = 60"""
+)
+def graph_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.core(w.edges(spark, sf_dir), CORE)
+
+
+@_query(
+    f"""WITH e AS ({E}), {DEGREES} SELECT CASE WHEN (a.degree, e.u) < (b.degree, e.v) THEN e.u ELSE e.v END AS u, CASE WHEN (a.degree, e.u) < (b.degree, e.v) THEN e.v ELSE e.u END AS v
+FROM e JOIN d a ON a.id = e.u JOIN d b ON b.id = e.v"""
+)
+def graph_oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orient(w.edges(spark, sf_dir))
+
+
+@_query(f"WITH {TRIANGLES} SELECT a, b, c FROM tr")
+def graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triangles(w.edges(spark, sf_dir))
+
+
+@_query(f"WITH {TRIANGLES} SELECT count(*) AS n FROM tr")
+def graph_triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triangles(w.edges(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {TRIANGLES}, n AS (SELECT u, v, count(*) AS support FROM ({SIDES}) GROUP BY 1, 2) SELECT e.u, e.v, coalesce(support, 0) AS support FROM e LEFT JOIN n ON e.u = n.u AND e.v = n.v")
+def graph_edge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = written(w.edges(spark, sf_dir), "edges")
+    return graph.support(edges, graph.triangles(edges))
+
+
+def _truss(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return truss.truss(written(w.edges(spark, sf_dir), "edges"), k)
+
+
+@_query(f"WITH {_truss_sql()} SELECT u, v FROM f")
+def truss_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truss(spark, sf_dir)
+
+
+def _found_sql(k: int) -> str:
+    return f"SELECT {k} AS k, cast((SELECT count(*) FROM (WITH {_truss_sql(k)} SELECT u, v FROM f)) > 0 AS INTEGER) AS found"
+
+
+@_query(" UNION ALL ".join(map(_found_sql, range(SWEEP[0], SWEEP[1] + 1))))
+def truss_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truss.truss_sweep(written(w.edges(spark, sf_dir), "edges"), *SWEEP)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_truss(spark, sf_dir).toDF("a", "b"))
+
+
+@_query(f"WITH {_truss_sql()}, {LABELS} SELECT id, component FROM labels")
+def truss_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir)
+
+
+@_query(f"WITH {_truss_sql()}, {LABELS} SELECT component, count(*) AS size FROM labels GROUP BY component")
+def truss_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@_query(f"WITH {_truss_sql()}, {LABELS} SELECT component, count(*) AS size, string_agg(id, ' ' ORDER BY id) AS members FROM labels GROUP BY component")
+def truss_component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = component_members(_labels(spark, sf_dir))
+    return found.select("component", "size", F.concat_ws(" ", F.col("members").cast("array<string>")).alias("members"))
+
+
+@_query(f"WITH {_truss_sql()}, {LABELS}, {TOUCHED} SELECT id, n_components FROM counts WHERE n_components >= {P}")
+def influencers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return influence.influencers(written(w.edges(spark, sf_dir), "edges"), w.vertices(spark, sf_dir), K, P)
+
+
+@_query(f"WITH {_truss_sql()}, {LABELS}, {TOUCHED} SELECT count(*) AS n FROM counts WHERE n_components >= {P}")
+def influencer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return influencers(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"WITH {_truss_sql()}, {LABELS}, {TOUCHED} SELECT t.id, l.id AS member FROM touched t JOIN counts c ON c.id = t.id JOIN labels l ON l.component = t.component WHERE c.n_components >= {P}"
+)
+def influencer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return influence.influencer_reach(written(w.edges(spark, sf_dir), "edges"), w.vertices(spark, sf_dir), K, P)
