@@ -1,49 +1,5 @@
 """Helpers shared by the operators of this subpackage."""
 
-from __future__ import annotations
+from tessera.functions.storage import dropped, load, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
-WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
-_OWN: list[str] = []  # the folder used where spark.checkpoint.dir is unset
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Reads one of the tables through Spark, wherever its folder is."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Taken from ``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="tessera-")]
-        found = _OWN[0]
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tessera_path = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what written() wrote; call it only when nothing lazy reads it any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        hadoop = df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
+__all__ = ["dropped", "load", "shared_dir", "written"]
