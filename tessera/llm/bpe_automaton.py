@@ -13,21 +13,36 @@ that part was still the top), arcs as chains of left spines.  A chain is short,
 the first time and one look-up in the transition table from then on.  A pre-split word has one accepted path; it is
 found by table-driven transitions from left to right.  Decoding emits the arcs' labels.
 
-Words repeat, so each process keeps a bounded memo from word to encoded bytes.
+Words repeat, so each process keeps a bounded memo from word to encoded bytes, in two generations: when the younger
+is full it becomes the older one, and words still in use come back from there.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
 import regex
 
 END = "\x00"
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
+#: Words by the vocabulary's pattern.  Its contractions come before other marks; letters can come first, as no other
+#: alternative starts with one.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPLIT = regex.compile(rf"[\p{{L}}]+|{_CONTRACTIONS}|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
+
+
+def _latin_split() -> re.Pattern:
+    """The same for texts of characters under U+0250, in the faster engine."""
+    kinds = {k: "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
+    spaces = "\t-\r \x85\xa0"
+    return re.compile(f"[{kinds['L']}]+|{_CONTRACTIONS}|[{kinds['N']}]|[^{spaces}{kinds['L']}{kinds['N']}]+")
+
+
+_LATIN, _WIDE = _latin_split(), re.compile("[^\x00-\u024f]")
+MEMO_WORDS, MEMO_CHARS = 500_000, 40  # words in each of the memo's two generations; longest word kept
 _NEVER = 1 << 60
 
 
@@ -48,7 +63,9 @@ class Automaton:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label |= {i: t for t, i in self.special.items()}
         self.token = {inner(t): i for t, i in vocab.items() if t not in self.special}
-        self.longest = max(map(len, self.token))
+        self.longest: dict[str, int] = {}  # by its first three symbols, the longest token
+        for t in self.token:
+            self.longest[t[:3]] = max(self.longest.get(t[:3], 0), len(t.rstrip(END)))
         n = max(self.label) + 1
         # gadget data by token: rank at which it was made, its left and right part; base symbols are their own spine
         self.rank = array("q", [-1]) * n
@@ -58,9 +75,10 @@ class Automaton:
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(r, vocab[u], vocab[v], vocab[u + v])
         self.table: dict[tuple[int, int], bool] = {}
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _gadget(self, r: int, u: int, v: int, w: int) -> None:
         self.lost.setdefault((u, v), r)
@@ -93,38 +111,39 @@ class Automaton:
 
     def word(self, word: str) -> list[int]:
         """The ids on the accepted path of a pre-split word."""
-        s = "".join(self.symbols[b] for b in word.encode())
-        n, token = len(s), self.token
-        at = lambda i, j: token.get(s[i:j] + END if j == n else s[i:j])
+        s = word.encode().decode("latin-1").translate(self.symbols)
+        n, get, arc, longest, known = len(s), self.token.get, self.arc, self.longest.get, self.table.get
         path: list[tuple[int, int, int]] = []  # begin, end, token
         dead: set[tuple[int, int]] = set()
-        i, state, j = 0, -1, min(n, self.longest)
+        i, state, j = 0, -1, min(n, longest(s[:3], 2))
         while i < n:
-            t = None
             while j > i:
-                t = at(i, j)
-                if t is not None and (state < 0 or self.arc(state, t)) and (j, t) not in dead:
+                t = get(s[i:j]) if j < n else get(s[i:] + END)
+                if t is not None and (state < 0 or known((state, t)) or arc(state, t)) and (not dead or (j, t) not in dead):
+                    path.append((i, j, t))
+                    i, state = j, t
+                    j = i + longest(s[i : i + 3], 2)
+                    if j > n:
+                        j = n
                     break
                 j -= 1
-            if j > i:
-                path.append((i, j, t))
-                i, state, j = j, t, min(n, j + self.longest)
             else:
                 if not path:
                     raise ValueError(f"no path for {word[:50]!r}")
-                b, e, t = path.pop()
-                dead.add((e, t))
-                i, state, j = b, path[-1][2] if path else -1, e - 1
+                i, j, t = path.pop()
+                dead.add((j, t))
+                state = path[-1][2] if path else -1
+                j -= 1
         return [t for _, _, t in path]
 
     def _bytes(self, word: str) -> bytes:
-        got = self.memo.get(word)
+        got = self.older.get(word)
         if got is None:
             got = array("I", self.word(word)).tobytes()
-            if len(word) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = got
+        if len(word) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -134,8 +153,13 @@ class Automaton:
         if self.cut and "<|" in text and self.cut.search(text):
             parts = self.cut.split(text)
             return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self.encode(p) for p in parts)
-        get, own = self.memo.get, self._bytes
-        return b"".join([get(w) or own(w) for w in _SPLIT.findall(prepared(text))])
+        text = prepared(text)
+        words = (_SPLIT if _WIDE.search(text) else _LATIN).findall(text)
+        got = list(map(self.memo.get, words))
+        if None in got:
+            own = self._bytes
+            got = [g or own(w) for g, w in zip(got, words, strict=True)]
+        return b"".join(got)
 
     def decode(self, ids: bytes) -> str:
         label = self.label
@@ -143,14 +167,11 @@ class Automaton:
 
 
 def prepared(text: str) -> str:
-    """NFC, white space runs to one space, lower case by single characters."""
-    import unicodedata
-
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        lowered = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        return _SPACES.sub(" ", lowered)
-    return text.lower()
+    """NFC, and lower case by single characters.  White space only separates words, so it may stay as it is."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
 
 @lru_cache(maxsize=2)
