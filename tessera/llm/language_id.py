@@ -34,7 +34,7 @@ from tessera.llm.common import load
 ALPHABET, PIECE, LANES = 48, 512, 8192
 PAD, OTHER = ALPHABET - 1, ALPHABET - 2
 _LETTER = regex.compile(r"\p{L}")
-_FLAG = 1 << 30
+_COUNT = 29  # bits from here on hold how many phrases a transition ends
 
 
 @lru_cache(maxsize=1)
@@ -89,8 +89,9 @@ class Model:
                 for c, t in arcs.items():
                     table[s, c] = t * ALPHABET + at
             root = np.where(table[0] >= 0, table[0], at)
-            table = np.where(table >= 0, table, root | _FLAG)  # a phrase ends; the next one starts with this character
-            table[0] = np.where(root == at, at | _FLAG, root)  # a character that the language doesn't have is a phrase
+            alien = root == at  # a character that the language doesn't have is a phrase of its own
+            table = np.where(table >= 0, table, root + ((1 + alien) << _COUNT))
+            table[0] = np.where(alien, at + (1 << _COUNT), root)
             table[:, PAD] = np.arange(len(nxt)) * ALPHABET + at
             tables.append(table.astype(np.int32).ravel())
             self.base.append(at)
@@ -132,8 +133,8 @@ class Model:
             count = np.zeros_like(state)
             for row in grid:
                 got = self.table[state + row]
-                count += got >> 30
-                state = got & (_FLAG - 1)
+                count += got >> _COUNT
+                state = got & ((1 << _COUNT) - 1)
             count += state != base  # the phrase that is still open
             np.add.at(out, doc[k], count.T)
         return out
