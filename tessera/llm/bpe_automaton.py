@@ -27,6 +27,8 @@ from functools import lru_cache
 
 import regex
 
+from tessera.llm.common import claim
+
 END = "\x00"
 #: Words by the vocabulary's pattern.  Its contractions come before other marks; letters can come first, as no other
 #: alternative starts with one.
@@ -42,7 +44,7 @@ def _latin_split() -> re.Pattern:
 
 
 _LATIN, _WIDE = _latin_split(), re.compile("[^\x00-\u024f]")
-MEMO_WORDS, MEMO_CHARS = 500_000, 40  # words in each of the memo's two generations; longest word kept
+MEMO_WORDS, MEMO_CHARS = 350_000, 40  # words in each of the memo's two generations; longest word kept
 _NEVER = 1 << 60
 
 
@@ -53,6 +55,29 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class _Memo(dict):
+    """Encoded bytes by word, in two generations; the older one is in ``older``."""
+
+    def __init__(self, own: Automaton) -> None:
+        super().__init__()
+        self.own, self.older = own, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = array("I", self.own.word(word)).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
+
 class Automaton:
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
@@ -77,8 +102,7 @@ class Automaton:
         self.table: dict[tuple[int, int], bool] = {}
         self.symbols = dict(enumerate(byte_symbols()))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = _Memo(self)
 
     def _gadget(self, r: int, u: int, v: int, w: int) -> None:
         self.lost.setdefault((u, v), r)
@@ -136,16 +160,6 @@ class Automaton:
                 j -= 1
         return [t for _, _, t in path]
 
-    def _bytes(self, word: str) -> bytes:
-        got = self.older.get(word)
-        if got is None:
-            got = array("I", self.word(word)).tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.older, self.memo = self.memo, {}
-            self.memo[word] = got
-        return got
-
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -155,11 +169,7 @@ class Automaton:
             return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self.encode(p) for p in parts)
         text = prepared(text)
         words = (_SPLIT if _WIDE.search(text) else _LATIN).findall(text)
-        got = list(map(self.memo.get, words))
-        if None in got:
-            own = self._bytes
-            got = [g or own(w) for g, w in zip(got, words, strict=True)]
-        return b"".join(got)
+        return b"".join(map(self.memo.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
         label = self.label
@@ -175,9 +185,15 @@ def prepared(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
+def _compiled(path: str) -> Automaton:
+    return Automaton(path)
+
+
 def automaton(path: str) -> Automaton:
     """One automaton per process and vocabulary."""
-    return Automaton(path)
+    own = _compiled(path)
+    claim("bpe", own.memo.forget)
+    return own
 
 
 def default_path() -> str:

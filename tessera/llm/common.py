@@ -1,5 +1,18 @@
 """Helpers shared by the operators of this subpackage."""
 
+from collections.abc import Callable
+
 from tessera.functions.storage import dropped, load, shared_dir, written
 
-__all__ = ["dropped", "load", "shared_dir", "written"]
+__all__ = ["claim", "dropped", "load", "shared_dir", "written"]
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Called by an operator that keeps a cache in its Python worker: the other operators' caches there are emptied.
+
+    Workers are used for one stage after another, so their memory is that of the largest cache and not the sum.
+    """
+    for other in [n for n in _CACHES if n != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = forget

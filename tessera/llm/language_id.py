@@ -29,9 +29,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load
+from tessera.llm.common import claim, load
 
-ALPHABET, PIECE, LANES = 48, 512, 8192
+ALPHABET, PIECE, LANES = 48, 512, 4096
 PAD, OTHER = ALPHABET - 1, ALPHABET - 2
 _LETTER = regex.compile(r"\p{L}")
 _COUNT = 29  # bits from here on hold how many phrases a transition ends
@@ -163,7 +163,7 @@ def _collapsed(codes: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.nd
     return codes[keep], np.cumsum(keep)[ends - 1] if len(codes) else ends
 
 
-def _slices(texts: list[str | None], rows: np.ndarray, chars: int = 4_000_000) -> Iterator[list[int]]:
+def _slices(texts: list[str | None], rows: np.ndarray, chars: int = 2_000_000) -> Iterator[list[int]]:
     part, n = [], 0
     for i in rows.tolist():
         part.append(i)
@@ -227,6 +227,7 @@ _MODELS: dict[str, Model] = {}
 
 def _model(shared, name: str) -> Model:
     """One unpickled model per Python worker."""
+    claim("language models", _MODELS.clear)
     if name not in _MODELS:
         _MODELS.clear()
         _MODELS[name] = pickle.loads(shared.value)

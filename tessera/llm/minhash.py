@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import dropped, load, written
+from tessera.llm.common import claim, dropped, load, written
 from tessera.operators.components import components
 
 BANDS, ROWS = 40, 5
@@ -51,8 +51,9 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
+    claim("words", _WORDS.clear)
     get, put = _WORDS.get, _WORDS.setdefault
     h = np.array([get(w) or put(w, xxh3_64_intdigest(w)) for w in words], np.uint64)
     n = max(1, len(h) - size + 1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import load, written
 
-MAX_RULES = 1000
+MAX_RULES, SALTS = 1000, 64
 #: The contract's rules: fixed values.
 RULES = (
     ("com", "/", "allow"),
@@ -84,7 +84,8 @@ def filter_urls(
     variable = spread.where((F.col("kinds") > distinct) & (F.col("n") < repeats * F.col("kinds"))).groupBy("host").agg(F.collect_set("depth").alias("depths"))
     free = F.coalesce(F.col("depths"), F.array().cast("array<int>"))
     template = F.concat_ws("/", F.transform("segs", lambda s, i: F.when(F.array_contains(free, i), F.lit("<*>")).otherwise(s)))
-    shaped = rows.join(variable, "host", "left").select("page_id", "host", "path", "rule", "ruled", template.alias("template"))
+    salted = variable.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
+    shaped = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "host", "path", "rule", "ruled", template.alias("template"))
 
     # labelled counts of each template, then siblings' pooled rate and the merge
     nodes = written(
