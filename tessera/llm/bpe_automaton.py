@@ -45,6 +45,7 @@ def _latin_split() -> re.Pattern:
 
 _LATIN, _WIDE = _latin_split(), re.compile("[^\x00-\u024f]")
 MEMO_WORDS, MEMO_CHARS = 350_000, 40  # words in each of the memo's two generations; longest word kept
+TRANSITIONS = 400_000  # of those once looked up
 _NEVER = 1 << 60
 
 
@@ -76,6 +77,7 @@ class _Memo(dict):
     def forget(self) -> None:
         self.older = {}
         self.clear()
+        self.own.table.clear()
 
 
 class Automaton:
@@ -99,7 +101,7 @@ class Automaton:
         for r, pair in enumerate(spec["model"]["merges"]):
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(r, vocab[u], vocab[v], vocab[u + v])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}  # by state and token
         self.symbols = dict(enumerate(byte_symbols()))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo = _Memo(self)
@@ -113,7 +115,7 @@ class Automaton:
 
     def arc(self, state: int, t: int) -> bool:
         """Whether the state after token ``state`` has an arc ``t``."""
-        known = self.table.get((state, t))
+        known = self.table.get(state << 20 | t)
         if known is None:
             known, s, upto = True, state, _NEVER
             while known and s >= 0:
@@ -128,9 +130,9 @@ class Automaton:
                 if self.right[s] >= 0:
                     upto = min(upto, self.rank[s])
                 s = self.right[s]
-            if len(self.table) > 4_000_000:
+            if len(self.table) > TRANSITIONS:
                 self.table.clear()
-            self.table[state, t] = known
+            self.table[state << 20 | t] = known
         return known
 
     def word(self, word: str) -> list[int]:
@@ -143,7 +145,7 @@ class Automaton:
         while i < n:
             while j > i:
                 t = get(s[i:j]) if j < n else get(s[i:] + END)
-                if t is not None and (state < 0 or known((state, t)) or arc(state, t)) and (not dead or (j, t) not in dead):
+                if t is not None and (state < 0 or known(state << 20 | t) or arc(state, t)) and (not dead or (j, t) not in dead):
                     path.append((i, j, t))
                     i, state = j, t
                     j = i + longest(s[i : i + 3], 2)

@@ -1,7 +1,11 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 from tessera.functions.storage import dropped, load, shared_dir, written
 
 __all__ = ["claim", "dropped", "load", "shared_dir", "written"]
@@ -13,6 +17,13 @@ def claim(name: str, forget: Callable[[], None]) -> None:
 
     Workers are used for one stage after another, so their memory is that of the largest cache and not the sum.
     """
-    for other in [n for n in _CACHES if n != name]:
+    others = [n for n in _CACHES if n != name]
+    for other in others:
         _CACHES.pop(other)()
     _CACHES[name] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)

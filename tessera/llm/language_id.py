@@ -175,7 +175,7 @@ def _slices(texts: list[str | None], rows: np.ndarray, chars: int = 2_000_000) -
         yield part
 
 
-def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language: int = 24_000, max_languages: int = 16) -> Model:
+def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language: int = 16_000, max_languages: int = 16) -> Model:
     """Fits a model on a bounded sample of labelled (doc_id, lang, text)."""
     labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}

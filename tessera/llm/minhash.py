@@ -51,7 +51,7 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     claim("words", _WORDS.clear)
     get, put = _WORDS.get, _WORDS.setdefault
