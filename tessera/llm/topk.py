@@ -13,7 +13,8 @@
 
 Scores are exact: products are computed in float64 while every sum stays below 2^53, else with Python integers.
 
-Defined results: null vectors and vectors holding null or non-finite components (or ones of 2^40 and more, whose scores no long holds) take no part; ties go to the smaller
+Defined results: null vectors and vectors holding null or non-finite components take no part; scaled components and scores beyond a long
+are the nearest long; ties go to the smaller
 vec_id; a query with fewer than k candidates returns all; rows that share a query's vec_id are its own; vectors of
 unequal length are compared with those of their own length only; null vec_ids take no part; extra columns are ignored.
 """
@@ -32,14 +33,13 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import load, written
 
-LARGEST = 1 << 40  # of a component; beyond it sums of products would not fit a long
 PIVOTS, SAMPLE, BLOCK_ROWS, GROUP_QUERIES = 64, 4096, 8192, 2048
-_EXACT = float(1 << 53)
+_EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
     """floor(factor * x) of each component as long; null if the vector or a component is null or not finite."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(LARGEST))))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS,
                         best = np.flatnonzero(s >= min(s[best])) if s.dtype != object else best
                     best = [i for i in sorted(best.tolist(), key=lambda i: (-s[i], i)) if ids[i] != me][:k]
                     for o, more in zip(out, ([me] * len(best), ids[best], s[best]), strict=True):
-                        o.extend(map(int, more))
+                        o.extend(max(-_LONG - 1, min(_LONG, int(x))) for x in more)
         return pa.table([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score"])
 
     keys = ["dim", "cell", "block", "part"]

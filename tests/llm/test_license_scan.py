@@ -1,0 +1,59 @@
+import random
+
+from tessera.llm import license_scan as op
+from tessera.llm.license_texts import NOTICES
+
+
+def test_increasing_is_longest():
+    rng = random.Random(1)
+    for _ in range(200):
+        v = rng.sample(range(30), rng.randint(0, 9))
+        got = [v[i] for i in op.increasing(v)]
+        chosen = [[v[i] for i in range(len(v)) if m >> i & 1] for m in range(1 << len(v))]
+        best = max(len(c) for c in chosen if c == sorted(c))
+        assert got == sorted(got) and len(got) == best
+
+
+def test_alignment_is_a_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        pairs = op.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+    assert op.align(list("xaby"), list("ab")) == [(1, 0), (2, 1)]
+
+
+def test_each_notice_is_found_in_long_text():
+    scanner = op.Scanner(NOTICES, op.THRESHOLD)
+    filler = " ".join(["lorem ipsum dolor sit amet"] * 2000)
+    for name, text in NOTICES:
+        found = scanner.find(f"{filler}\n{text}\n{filler}")
+        assert [f[0] for f in found] == [name], text
+        assert found[0][1] == 1.0
+        twice = scanner.find(f"{text}\n{text}")
+        assert [f[0] for f in twice] == [name] * 2, text
+
+
+def test_changed_words_and_clean_text():
+    scanner = op.Scanner(NOTICES, op.THRESHOLD)
+    changed = NOTICES[2][1].replace("Software", "Work", 1).replace("merge, ", "")
+    assert [f[0] for f in scanner.find(changed)] == ["MIT"]
+    assert not scanner.find("The licence of this driver was released under pressure by the state of Massachusetts.")
+
+
+def test_query_rows(spark):
+    rows = [(1, "x Licensed under CC BY 4.0. y"), (2, None), (3, ""), (4, "nothing"), (4, "nothing"), (None, "Released under the MIT License. Licensed under CC BY 4.0.")]
+    got = {r["doc_id"]: [(f["license"], f["begin"], f["end"]) for f in r["licenses"]] for r in op.scan(spark.createDataFrame([(d, t, "l") for d, t in rows], "doc_id long, text string, license string")).collect()}
+    assert got[1] == [("CC-BY-4.0", 2, 26)] and got[2] == got[3] == got[4] == []
+    assert [x[0] for x in got[None]] == ["MIT", "CC-BY-4.0"]
+    assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in op.op1_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    for r in docs.collect():
+        want = {v for k, v in lines.items() if k in r["text"]}
+        assert got[r["doc_id"]]["license"] in (want or {None})
