@@ -137,30 +137,35 @@ class Automaton:
 
     def word(self, word: str) -> list[int]:
         """The ids on the accepted path of a pre-split word."""
-        s = word.encode().decode("latin-1").translate(self.symbols)
-        n, get, arc, longest, known = len(s), self.token.get, self.arc, self.longest.get, self.table.get
-        path: list[tuple[int, int, int]] = []  # begin, end, token
-        dead: set[tuple[int, int]] = set()
-        i, state, j = 0, -1, min(n, longest(s[:3], 2))
-        while i < n:
+        s = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
+        n, whole = len(s), s + END
+        get, arc, longest, known = self.token.get, self.arc, self.longest.get, self.table.get
+        path: list[int] = []
+        begins: list[int] = []
+        dead: set[tuple[int, int]] = set()  # (place, token) from which the word's end can't be reached
+        i, state, j = 0, -1, longest(s[:3], 2)
+        while True:
+            if j >= n:
+                t = get(whole[i:])
+                if t is not None and (state < 0 or known(state << 20 | t) or arc(state, t)):
+                    path.append(t)
+                    return path
+                j = n - 1
             while j > i:
-                t = get(s[i:j]) if j < n else get(s[i:] + END)
+                t = get(s[i:j])
                 if t is not None and (state < 0 or known(state << 20 | t) or arc(state, t)) and (not dead or (j, t) not in dead):
-                    path.append((i, j, t))
+                    path.append(t)
+                    begins.append(i)
                     i, state = j, t
                     j = i + longest(s[i : i + 3], 2)
-                    if j > n:
-                        j = n
                     break
                 j -= 1
             else:
                 if not path:
                     raise ValueError(f"no path for {word[:50]!r}")
-                i, j, t = path.pop()
-                dead.add((j, t))
-                state = path[-1][2] if path else -1
-                j -= 1
-        return [t for _, _, t in path]
+                dead.add((i, path.pop()))
+                j, i = i - 1, begins.pop()
+                state = path[-1] if path else -1
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
