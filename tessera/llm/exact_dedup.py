@@ -78,11 +78,19 @@ def _labelled(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns as they were; a doc_id stated more than once stays once."""
-    flags = exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("__times"))
-    kept = docs.join(flags.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = kept.where("__times = 1").drop("__id", "__times")
-    more = kept.where("__times > 1").drop("__id", "__times").dropDuplicates(["doc_id"])
+    """The rows of docs that exact_dedup keeps, all columns as they were; a document stated more than once stays once.
+
+    A document is a doc_id with a normalised text: different texts that share a doc_id (or have none) are told apart.
+    Of the rows of one document that with the longest text stays (then the largest text and other columns).
+    """
+    own = F.sha2(normalised(F.col("text")), 256)
+    flags = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__times"))
+    flags = flags.withColumnsRenamed({"doc_id": "__id", "text_sha256": "__of"})
+    kept = docs.withColumn("__sha", own).join(flags, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")))
+    once = kept.where("__times = 1").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    order = F.struct(F.char_length(F.coalesce(F.col("text"), F.lit(""))), F.col("text"), F.to_json(row))
+    more = kept.where("__times > 1").groupBy("doc_id", "__sha").agg(F.max_by(row, order).alias("__row")).select("__row.*")
     return once.unionByName(more)
 
 

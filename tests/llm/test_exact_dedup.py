@@ -40,6 +40,15 @@ def test_keep_one_keeps_columns_and_states_a_doc_once(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([9, 7, 8, 4, 6, 11, 12], key=str)
 
 
+def test_keep_one_merges_no_different_texts(spark):
+    rows = [(None, "one"), (None, "two"), (None, "three"), (None, "t wo"), (20, "first"), (20, "second"), (30, "copy of"), (31, "copy  of"), (31, "alone"), (40, "s a"), (40, "sa")]
+    got = op.keep_one(frame(spark, rows)).collect()
+    want = [(None, "one"), (None, "t wo"), (None, "three"), (20, "first"), (20, "second"), (31, "alone"), (31, "copy  of"), (40, "s a")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    copies = [(1, "long  copy"), (2, "longcopy"), (2, "own text")]
+    assert sorted((r["doc_id"], r["text"]) for r in op.keep_one(frame(spark, copies)).collect()) == [(1, "long  copy"), (2, "own text")]
+
+
 def test_empty(spark):
     assert op.exact_dedup(frame(spark, [])).count() == 0
     assert op.keep_one(frame(spark, [])).count() == 0
