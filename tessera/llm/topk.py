@@ -4,8 +4,8 @@
    its Euclidean distance r to the pivot.  For any vector x of the cell of pivot c, q.c - |q| r <= q.x <= q.c + |q| r.
 2. One aggregation gives a summary row per cell: how many vectors, the largest r, and its k + 1 smallest r.
    The number of cells is a parameter, so the summary is small whatever the input.
-3. For each query the (k + 1)-th largest of the lower bounds over all cells' summaries is a score that its k-th
-   neighbour reaches (one is left for the query's own row).  A cell is needed only if its upper bound reaches that
+3. For each query the (k + m)-th largest of the lower bounds over all cells' summaries is a score that its k-th
+   neighbour reaches (m, the number of rows with its vec_id, are left for its own rows).  A cell is needed only if its upper bound reaches that
    score; the query is replicated to the needed cells alone.
 4. Cells are cut into blocks of bounded size by a hash of the vector (a cell that holds a third of all rows becomes
    many blocks), and queries of a block into bounded groups.  Each (block, group) is solved locally by one matrix
@@ -117,7 +117,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS,
                 c = (np.zeros((1, n)) if c is None else c)[own]
                 dot, norm = x @ c.T, np.sqrt((x**2).sum(1))[:, None] * (1 + 1e-9)
                 low = np.concatenate([dot[:, [j]] - norm * np.array(table[n, i][2])[None, :] for j, i in enumerate(own)], 1)
-                least = np.partition(low, -(k + 1), 1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(x), -np.inf)
+                least, rows = np.full(len(x), -np.inf), part["own"].to_numpy()
+                for m in np.unique(rows[rows <= low.shape[1] - k]).tolist():
+                    at = np.flatnonzero(rows == m)
+                    least[at] = np.partition(low[at], -(k + m), 1)[:, -(k + m)]
                 high = dot + norm * np.array([table[n, i][1] for i in own])[None, :]
                 q, j = np.nonzero(high >= (least - 1e-3 - 1e-9 * np.abs(least))[:, None])
                 cell = np.array(own)[j]
@@ -130,7 +133,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS,
                     yield pd.DataFrame({"dim": n, "cell": cell[at[s]], "block": block[s], "query_id": vec[s], "q": [part["v"].iloc[i] for i in q[at[s]]]})
 
     group = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int").alias("part")
-    asked = cells.where("is_query").select("vec_id", "v", "dim").mapInPandas(needed, "dim int, cell int, block int, query_id long, q array<long>").select("*", group)
+    repeated = cells.groupBy("dim", "vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    asked = cells.where("is_query").join(repeated, ["dim", "vec_id"], "left").select("vec_id", "v", "dim", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = asked.mapInPandas(needed, "dim int, cell int, block int, query_id long, q array<long>").select("*", group)
     cuts = F.create_map(*[F.lit(x) for (d, c), n in blocks.items() for x in (d * 65536 + c, n)]) if blocks else F.create_map(F.lit(0), F.lit(1))
     data = cells.select(
         "dim", "cell", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.coalesce(cuts[F.col("dim") * 65536 + F.col("cell")], F.lit(1))).cast("int").alias("block"), "vec_id", "v",

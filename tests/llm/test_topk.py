@@ -45,3 +45,11 @@ def test_large_components_and_few_candidates(spark):
     assert found(spark, rows) == brute(rows)
     assert found(spark, [(0, [1.0])]) == []
     assert found(spark, []) == []
+
+
+def test_repeated_rows_of_a_query(spark):
+    rows = [(50, [10.0, 0.0])] * 6 + [(i, [0.01 * i, 10.0]) for i in range(1, 11)]
+    pairs = sorted((-s, j) for i, q in rows if i == 50 for j, v in rows if j != 50 for s in [sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(q, v))])
+    want = [(50, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
+    assert found(spark, rows) == want
+    assert found(spark, rows, k=1) == want[:1]
