@@ -1,16 +1,20 @@
 """Licence scans by patience alignment.
 
-A notice (template) is looked for wherever one of its rarest words stands in the text.  The words around that place and
-the template's are aligned: equal words at both ends are matched, words unique to both sides are anchors, the longest
-increasing subsequence of the anchors is kept, and the gaps between anchors are aligned in the same way.  Coverage is
-the share of the template's words that are matched.  Of the findings of a text that overlap, the one that matches most
-words stays (then higher coverage, then the template listed first).
-
-Map-only: nothing is shuffled; the templates are a literal list.  Text costs one pass, and an alignment only where a
-rare word stands.
+A notice (template) is looked for wherever one of its starts, the rarest of its words, stands in the text.  A template
+has more starts than the threshold lets it miss words, so an alignment that reaches the threshold matches a start.
+The words around that place and the template's are aligned: equal words at both ends are matched, words unique to both
+sides are anchors, the longest increasing subsequence of the anchors is kept, and the gaps between anchors are aligned in
+the same way.  Where that isn't enough the window grows to a template's length beyond the outermost anchors while that
+finds more; parts that far apart must be dense.  Coverage is the share of the template's words that are matched.  Of the
+findings of a text that overlap, the one that matches most words stays (then higher coverage, then the template listed
+first).
+
+Map-only: nothing is shuffled; the templates are a literal list.  Text costs one pass; templates of which it holds too
+few words for the threshold are passed over, and places that share a diagonal are aligned once.
 
 Defined results: null and empty texts, and texts without a notice, have no findings (``licenses`` is then an empty
-array, ``license`` and ``coverage`` null); repeated rows each give a row; a notice that occurs several times is found
+array, ``license`` and ``coverage`` null); one insertion of more words than the notice has (and a quarter) divides it, its
+halves are then told apart; repeated rows each give a row; a notice that occurs several times is found
 each time; extra columns are ignored.
 """
 
@@ -80,38 +84,83 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def dense(pairs: list[tuple[int, int]], slack: int, least: int) -> list[tuple[int, int]]:
+    """The pairs in parts (places of the first side at most slack words apart) of at least ``least`` pairs, half of their span."""
+    parts: list[list[tuple[int, int]]] = []
+    for p in pairs:
+        if not parts or p[0] - parts[-1][-1][0] > slack:
+            parts.append([])
+        parts[-1].append(p)
+    return [p for part in parts if len(part) >= least and 2 * len(part) > part[-1][0] - part[0][0] for p in part]
+
+
 class Scanner:
     def __init__(self, notices: tuple[tuple[str, str], ...], threshold: float) -> None:
         self.threshold = threshold
         self.templates = [(name, [w.lower() for w in _WORD.findall(text)]) for name, text in notices]
         often = Counter(w for _, words in self.templates for w in set(words))
-        self.starts: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words) in enumerate(self.templates):
-            rare = sorted((w for w in set(words) if not w.isdigit() and words.count(w) == 1), key=lambda w: (often[w], -len(w), w))
-            for w in rare[:RARE_WORDS]:
-                self.starts[w].append((t, words.index(w)))
-        self.any = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(self.starts))) + r")\b")
+        self.words = [Counter(words) for _, words in self.templates]
+        self.least = [next(k for k in range(len(words) + 1) if k >= len(words) or k / len(words) >= threshold) for _, words in self.templates]
+        self.starts: list[dict[str, list[int]]] = []
+        for (_, words), own, least in zip(self.templates, self.words, self.least, strict=True):
+            rare = sorted(range(len(words)), key=lambda i: (words[i].isdigit(), own[words[i]] > 1, often[words[i]], -len(words[i]), words[i]))
+            starts: dict[str, list[int]] = defaultdict(list)
+            for i in rare[: max(RARE_WORDS, len(words) - least + 1)]:
+                starts[words[i]].append(i)
+            self.starts.append(dict(starts))
+
+    def _possible(self, words: list[str]) -> list[int]:
+        """Templates with a start and enough of their words, in any order, in the text."""
+        seen = set(words)
+        near = [t for t, starts in enumerate(self.starts) if not seen.isdisjoint(starts)]
+        near = [t for t in near if sum(n for w, n in self.words[t].items() if w in seen) >= self.least[t]]
+        if near:
+            counts = Counter(words)
+            near = [t for t in near if sum(min(n, counts[w]) for w, n in self.words[t].items()) >= self.least[t]]
+        return near
+
+    def _aligned(self, words: list[str], t: int, diagonal: int) -> tuple[int, list[tuple[int, int]]] | None:
+        """Begin of the window and pairs of the narrowest alignment that reaches the threshold."""
+        template, least, known = self.templates[t][1], self.least[t], self.words[t]
+        n, slack = len(template), len(template) // 4 + 2
+        for more in (0, slack):
+            lo = max(0, diagonal - more)
+            part = words[lo : diagonal + n + more]
+            if sum(map(known.__contains__, part)) >= least:
+                pairs = align(part, template)
+                if len(pairs) >= least:
+                    return lo, pairs
+        more = n + slack
+        lo, hi = max(0, diagonal - more), min(len(words), diagonal + n + more)
+        while True:
+            pairs = dense(align(words[lo:hi], template), slack, max(2, n // 10))
+            if len(pairs) >= least:
+                return lo, pairs
+            if not pairs:
+                return None
+            (x0, y0), (x1, y1) = pairs[0], pairs[-1]
+            begin, end = max(0, min(lo, lo + x0 - y0 - more)), min(len(words), max(hi, lo + x1 - y1 + n + more))
+            if (begin, end) == (lo, hi):
+                return None
+            lo, hi = begin, end
 
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Findings: licence, coverage, first and last character."""
         lowered = (text or "").lower()
-        if not self.any.search(lowered):
+        words = _WORD.findall(lowered)
+        possible = self._possible(words)
+        if not possible:
             return []
         spots = [(m[0], m.start(), m.end()) for m in _WORD.finditer(lowered)]
-        words = [s[0] for s in spots]
         found: dict[tuple[int, int, int], tuple] = {}
-        for at, w in enumerate(words):
-            for t, offset in self.starts.get(w, ()):
-                template = self.templates[t][1]
-                n, slack = len(template), len(template) // 4 + 2
-                for more in (0, slack):
-                    lo = max(0, at - offset - more)
-                    pairs = align(words[lo : at - offset + n + more], template)
-                    share = len(pairs) / n
-                    if share >= self.threshold:
-                        a, z = lo + pairs[0][0], lo + pairs[-1][0]
-                        found[t, a, z] = (-len(pairs), -share, t, a, z)
-                        break
+        for t in possible:
+            starts, n = self.starts[t], len(self.templates[t][1])
+            for diagonal in sorted({at - i for at, w in enumerate(words) if w in starts for i in starts[w]}):
+                got = self._aligned(words, t, diagonal)
+                if got:
+                    lo, pairs = got
+                    a, z = lo + pairs[0][0], lo + pairs[-1][0]
+                    found[t, a, z] = min(found.get((t, a, z), (0,)), (-len(pairs), -len(pairs) / n, t, a, z))
         out, taken = [], []
         for _, share, t, a, z in sorted(found.values()):
             if all(z < x or a > y for x, y in taken):

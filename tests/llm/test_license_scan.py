@@ -42,6 +42,36 @@ def test_changed_words_and_clean_text():
     assert not scanner.find("The licence of this driver was released under pressure by the state of Massachusetts.")
 
 
+def test_no_three_words_decide():
+    scanner = op.Scanner(NOTICES, op.THRESHOLD)
+    for name, text in NOTICES:
+        words = op._WORD.findall(text)
+        rng = random.Random(len(text))
+        for _ in range(20):
+            off = set(rng.sample(range(len(words)), len(words) // 5)) if len(words) > 80 else set()
+            changed = " ".join(f"{w}qq" if i in off else w for i, w in enumerate(words))
+            assert [f[0] for f in scanner.find(changed)] == [name], changed
+    mit, gpl = NOTICES[2][1], next(t for _, t in NOTICES if "program is free software:" in t and "Affero" not in t)
+    for w in ("restriction", "substantial", "associated"):
+        mit = mit.replace(w, f"{w[:4]}-\n{w[4:]}")
+    for w in ("program", "redistribute", "Foundation"):
+        gpl = gpl.replace(w, f"{w}x")
+    assert [f[0] for f in scanner.find(mit)] == ["MIT"]
+    assert [f[0] for f in scanner.find(gpl)][0] in ("GPL-3.0", "GPL-2.0")
+
+
+def test_insertions_longer_than_a_quarter():
+    scanner = op.Scanner(NOTICES, op.THRESHOLD)
+    words = NOTICES[2][1].split(" ")
+    for at in (30, 44, 60):
+        for n in (30, 60, 80):
+            text = " ".join([*words[:at], *(f"inserted{i}" for i in range(n)), *words[at:]])
+            found = scanner.find(f"some text before {text} and after")
+            assert [f[0] for f in found] == ["MIT"] and found[0][1] >= op.THRESHOLD, (at, n)
+    thrice = " ".join([*words[:30], *["lorem"] * 60, *words[30:60], *["ipsum"] * 60, *words[60:]])
+    assert [f[0] for f in scanner.find(thrice)] == ["MIT"]
+
+
 def test_query_rows(spark):
     rows = [(1, "x Licensed under CC BY 4.0. y"), (2, None), (3, ""), (4, "nothing"), (4, "nothing"), (None, "Released under the MIT License. Licensed under CC BY 4.0.")]
     got = {r["doc_id"]: [(f["license"], f["begin"], f["end"]) for f in r["licenses"]] for r in op.scan(spark.createDataFrame([(d, t, "l") for d, t in rows], "doc_id long, text string, license string")).collect()}
