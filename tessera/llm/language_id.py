@@ -4,11 +4,14 @@ For each language a suffix automaton of labelled text is built.  A text is parse
 that occur in that language's labelled text (the automaton's longest-match lengths); the language whose text needs the
 fewest phrases, each weighted by the logarithm of its training length, wins.
 
-Training uses a bounded sample (the bounds are parameters of ``train``): at most ``docs_per_language`` labelled rows of
-each of at most ``max_languages`` languages, chosen by a hash of doc_id, and ``chars_per_language`` characters of them.
+Training uses a bounded sample of every language (the bounds are parameters of ``train``): at most
+``docs_per_language`` distinct labelled rows, the least by a hash of doc_id and text, and ``chars_per_language`` characters
+of them (less if there are over 16 languages), in equal spans from anywhere in the texts.
+The commonest letters are one symbol each, and every other letter of the sample is spelt in hexadecimal symbols, so none
+of them are confused; letters that no language's sample has are one symbol.
 The automata are completed to dense tables (a missing transition ends a phrase and starts the next at the root), so
 prediction is one table look-up for each character and language, run over many pieces of text at once.  Prediction is
-map-only.  The broadcast tables are bounded by max_languages * chars_per_language * 2 states * ALPHABET classes.
+map-only.  The broadcast tables have at most 2 * ALPHABET places for each symbol of the sample.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; if there are no labelled rows every
 text gets ``und``; ties go to the language that comes first in alphabetical order; extra columns are ignored.
@@ -28,11 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import claim, load
 
-ALPHABET, PIECE, LANES = 48, 512, 4096
-PAD, OTHER = ALPHABET - 1, ALPHABET - 2
+ALPHABET, PIECE, LANES = 64, 512, 4096
+LETTERS, SPELT = 45, 255  # how many letters are a symbol; mark of the others
+PAD, OTHER, DIGIT = ALPHABET - 1, LETTERS + 1, LETTERS + 2
+SHARED, LEAST = 16, 512  # beyond so many languages they share the characters; but so many each
 _LETTER = regex.compile(r"\p{L}")
 _COUNT = 29  # bits from here on hold how many phrases a transition ends
 
@@ -78,7 +84,9 @@ class Model:
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
         lowered = {k: texts[k].lower() for k in self.langs}
-        common = Counter(c for t in lowered.values() for c in t if c.isalpha()).most_common(ALPHABET - 3)
+        common = Counter(c for t in lowered.values() for c in t if c.isalpha()).most_common()
+        common, rest = common[:LETTERS], sorted(ord(c) for c, _ in common[LETTERS:])
+        self.rest, self.width = np.array(rest, np.uint32), max(1, -(-len(rest).bit_length() // 4))
         self.classes = {c: i + 1 for i, (c, _) in enumerate(sorted(common))}
         tables, self.base, self.bits, at = [], [], [], 0
         for k in self.langs:
@@ -103,12 +111,28 @@ class Model:
         out = np.where(_letters(), np.uint8(OTHER), np.uint8(0)).astype(np.uint8)
         for c, i in self.classes.items():
             out[ord(c)] = i
+        out[self.rest] = SPELT
         return out
 
     def codes(self, text: str) -> np.ndarray:
+        return self.coded([text])[0]
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts, and where each text ends in them."""
         if not hasattr(self, "_lut"):
             self._lut = self.lut()
-        return self._lut[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+        codes, ends = self._lut[points], np.cumsum([len(t) for t in texts])
+        spelt = np.flatnonzero(codes == SPELT)
+        if len(spelt):
+            which = np.searchsorted(self.rest, points[spelt])
+            width = np.ones(len(codes), np.int64)
+            width[spelt] = self.width
+            upto = np.concatenate([[0], np.cumsum(width)])
+            codes, ends = np.repeat(codes, width), upto[ends]
+            for k in range(self.width):
+                codes[upto[spelt] + k] = DIGIT + (which >> (4 * (self.width - 1 - k)) & 15)
+        return codes, ends
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_lut"}
@@ -144,8 +168,7 @@ class Model:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         rows = np.flatnonzero(has)
         for part in _slices(texts, rows):
-            lowered = [texts[i].lower() for i in part]
-            codes, ends = _collapsed(self.codes("".join(lowered)), np.cumsum([len(t) for t in lowered]))
+            codes, ends = _collapsed(*self.coded([texts[i].lower() for i in part]))
             cost = self.phrases(codes, ends) * np.array(self.bits)
             best = cost.argmin(1)
             low = cost[np.arange(len(part)), best]
@@ -175,25 +198,30 @@ def _slices(texts: list[str | None], rows: np.ndarray, chars: int = 2_000_000) -
         yield part
 
 
-def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language: int = 16_000, max_languages: int = 16) -> Model:
+def _joined(spans: list[str], chars: int) -> str:
+    """Of each span an equal part, and what short spans leave for the others; ``chars`` characters in all."""
+    left, parts = chars, {}
+    for n, i in enumerate(sorted(range(len(spans)), key=lambda i: len(spans[i]))):
+        parts[i] = spans[i][: max(1, left // (len(spans) - n))]
+        left -= len(parts[i])
+    return "\n".join(parts[i] for i in range(len(spans)))
+
+
+def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language: int = 16_000) -> Model:
     """Fits a model on a bounded sample of labelled (doc_id, lang, text)."""
-    labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not counts:
-        return Model({})
-    place = (F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("place")
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * docs_per_language / n))])
+    labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    placed = labelled.withColumn("place", F.xxhash64("doc_id", "text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = placed.select("lang", "place").distinct().withColumn("nth", nth).where(F.col("nth") <= docs_per_language).drop("nth")
     each = 4 * chars_per_language // docs_per_language
-    picked = labelled.where(F.col("lang").isin(list(counts))).withColumn("place", place).where(F.col("place") < share[F.col("lang")])
-    rows = picked.select("lang", "place", F.substring("text", 1, each).alias("text")).limit(4 * docs_per_language * max_languages).collect()
-    texts: dict[str, str] = {}
-    for lang in counts:
-        own = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["text"]))[:docs_per_language]
-        per = max(1, chars_per_language // max(1, len(own)))
-        text = "\n".join(r["text"][: 2 * per] for r in own)[:chars_per_language]
-        if any(c.isalpha() for c in text):
-            texts[lang] = text
-    return Model(texts)
+    begin = F.pmod("place", F.greatest(F.lit(1), F.char_length("text") - each + 1)).cast("int") + 1
+    spans = placed.withColumn("span", F.substring("text", begin, F.lit(each))).join(F.broadcast(chosen), ["lang", "place"])
+    own: dict[str, list[str]] = {}
+    for r in sorted(spans.groupBy("lang", "place").agg(F.min("span").alias("span")).collect(), key=lambda r: (r["lang"], r["place"])):
+        own.setdefault(r["lang"], []).append(r["span"])
+    chars = max(min(LEAST, chars_per_language), min(chars_per_language, SHARED * chars_per_language // max(1, len(own))))
+    texts = {lang: _joined(rows, chars) for lang, rows in own.items()}
+    return Model({lang: text for lang, text in texts.items() if any(c.isalpha() for c in text)})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -53,3 +53,28 @@ def test_prediction_does_not_depend_on_batches():
     model = op.Model({"a": "the cat sat on the mat " * 30, "b": "le chat est sur la table " * 30})
     texts = ["the cat", "la table", None, "x" * 3000, "sat sur " * 400]
     assert model.predict(texts) == tuple(map(list, zip(*[(x[0], y[0]) for x, y in (model.predict([t]) for t in texts)])))
+
+
+def test_every_language_and_every_letter_counts(spark):
+    import random
+
+    def words(script, seed):
+        rng = random.Random(seed)
+        stems = ["".join(rng.choice(script) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        return lambda i: " ".join(random.Random(i).choices(stems, k=40))
+
+    latin, han = "abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + i) for i in range(600)]
+    langs = {f"l{k:02}": words(latin, k) for k in range(20)} | {"x-han": words(han[:400], 1), "y-han": words(han[200:], 2), "z-greek": words("αβγδεζηθικλμνξοπρστυφχψω", 3), "z-greek2": words("αβγδεζηθικλμνξοπρστυφχψω", 4)}
+    rows = [(i, make(i), lang) for lang, make in langs.items() for i in range(8 if "-" in lang else 12)]
+    model = op.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(langs)
+    assert model.predict([make(1000 + i) for make in langs.values() for i in range(3)])[0] == [lang for lang in langs for _ in range(3)]
+
+
+def test_sample_takes_all_rows_and_any_part_of_them(spark):
+    # the language shows in the later part of its texts only; all rows lack a doc_id, and most are copies
+    junk = "zq " * 400
+    rows = [(None, junk + f"{w} " * 1500 + str(i % 30), lang) for lang, w in (("a", "hello world"), ("b", "bonjour monde")) for i in range(200)]
+    model = op.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(["hello world hello", "bonjour monde bonjour"])[0] == ["a", "b"]
+    assert op._joined(["ab", "x" * 50, "y" * 50], 42) == "ab\n" + "x" * 20 + "\n" + "y" * 20
