@@ -4,7 +4,8 @@
    scripts, styles or reader comments (by element, role, class or id) is dropped.  If the page marks its main text
    (``article``, ``main``, role main), its blocks are the result: repetition alone removes nothing there, since
    articles may quote each other.
-2. For all other pages of a host the remaining blocks' token streams are compared.  The suffix array is needed only to
+2. For all other pages the remaining blocks' token streams are compared with those of all pages of the host, marked ones
+   too (their blocks outside of the main text included).  The suffix array is needed only to
    DEPTH tokens: suffixes of distinct pages that agree so far are the repeated substrings.  They are found by one
    aggregation on (host, hash of DEPTH tokens), whose keys spread a host with a third of all pages over all tasks; the
    tokens they cover are removed, and the unique runs stay.
@@ -63,6 +64,12 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
     """The blocks that may be main text, and whether the page marks them."""
+    free, marked, seen = read(page)
+    return (marked, True) if seen else (free, False)
+
+
+def read(page: str | None) -> tuple[list[str], list[str], bool]:
+    """All blocks outside of what holds no main text, those in marked main text, and whether the page marks it."""
     page = page or ""
     free: list[str] = []
     marked: list[str] = []
@@ -123,7 +130,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             if name not in BLOCK and stack[i][0] in BLOCK:
                 break  # an inline element doesn't close the block around it
     end()
-    return (marked, True) if seen else (free, False)
+    return free, marked, seen
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -139,17 +146,24 @@ def extract(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [blocks(h.as_py()) for h in b.column(2)]
-            b = b.filter(pa.array([ok for _, ok in read], pa.bool_()))
-            yield made(b.column(0), b.column(1), ["\n".join(x) for x, ok in read if ok])
+            pages = [blocks(h.as_py()) for h in b.column(2)]
+            b = b.filter(pa.array([ok for _, ok in pages], pa.bool_()))
+            yield made(b.column(0), b.column(1), ["\n".join(x) for x, ok in pages if ok])
 
     def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [blocks(h.as_py()) for h in b.column(2)]
-            b = b.filter(pa.array([not ok for _, ok in read], pa.bool_()))
+            pages = [blocks(h.as_py()) for h in b.column(2)]
+            b = b.filter(pa.array([not ok for _, ok in pages], pa.bool_()))
             if b.num_rows:
                 cols = [b.column(i) for i in (0, 1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, ok in read if not ok], pa.list_(pa.string()))], ["page_id", "url", "host", "uid", "blocks"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, ok in pages if not ok], pa.list_(pa.string()))], ["page_id", "url", "host", "uid", "blocks"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = [read(h.as_py()) for h in b.column(2)]
+            b = b.filter(pa.array([seen for _, _, seen in pages], pa.bool_()))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([free for free, _, seen in pages if seen], pa.list_(pa.string()))], ["host", "uid", "blocks"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +196,9 @@ def extract(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     if open_.isEmpty():
         return marked
     streams = written(open_.select("host", "uid", "blocks").dropDuplicates(["host", "uid"]).mapInArrow(suffixes, "host string, uid long, h long, at int"), "suffixes")
-    shared = streams.groupBy("host", "h").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a < b").select("host", "h")
+    others = keyed.select("host", "uid", "html").join(open_.select("host").distinct(), "host", "left_semi").mapInArrow(whole, "host string, uid long, blocks array<string>")
+    others = others.mapInArrow(suffixes, "host string, uid long, h long, at int")
+    shared = streams.unionByName(others).groupBy("host", "h").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a < b").select("host", "h")
     places = streams.join(shared, ["host", "h"]).groupBy("uid").agg(F.collect_set("at").alias("places"))
     rest = open_.join(places, "uid", "left").select("page_id", "url", "blocks", "places").mapInArrow(unique, schema)
     return marked.unionByName(rest)

@@ -52,5 +52,13 @@ def test_repeated_runs_of_a_host_go(spark):
     assert {r["text"] for r in got if r["page_id"] == 3} == {"3 has words of its own zzz"}  # the word Text follows the repeated lines on each page
 
 
+def test_repeats_on_marked_pages_count(spark):
+    menu = "<p>Home of the daily paper with news sport and weather</p>"
+    rows = [(k, f"http://a.example/{k}", f"{menu}<article><p>Article {k} {'y' * k}</p></article>") for k in range(4)]
+    rows += [(9, "http://a.example/9", f"{menu}<p>Own words of the page without marks"), (10, "http://b.example/", f"{menu}<p>Alone here")]
+    got = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Own words of the page without marks" and got[10].startswith("Home of") and got[2] == "Article 2 yy"
+
+
 def test_empty(spark):
     assert op.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
