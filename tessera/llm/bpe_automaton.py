@@ -8,10 +8,16 @@ merge (u, v) -> w, with rank r, does three things:
 * w leads where v led at rank r, so w's state starts as a snapshot of v's;
 * the state after u loses its arc v (and, if u = v, its arc w, since runs are merged from the left).
 
-States are kept as chains of such deletions (a state = the deletions met on the right spine of its token, each while
-that part was still the top), arcs as chains of left spines.  A chain is short, so a transition costs a few look-ups
-the first time and one look-up in the transition table from then on.  A pre-split word has one accepted path; it is
-found by table-driven transitions from left to right.  Decoding emits the arcs' labels.
+So each gadget makes one new version of u's state and one of v's arc, and both kinds of versions form trees: a token's
+state (arc) continues the version that its right (left) part had when the token was made.  Deletion r holds between
+all that continues its state version and all that continues its arc version.  Tokens with the same last version share a
+state, so a vocabulary of 49,000 tokens has some 11,600 states and 13,800 kinds of arcs.  With the arcs in the order of
+a walk over their tree a deletion is an interval of arcs, and each state's row of the transition table is its parent's
+row less one interval; the table is one bit for each state and kind of arc (20 MB), complete when compilation ends.
+
+A pre-split word is read once from left to right.  Each of its prefixes has one accepted path, which ends in one token;
+from that token's state the table says which tokens that stand next in the word may follow, and so which token ends
+each longer prefix.  Nothing is tried twice and no step is taken back.  Decoding emits the arcs' labels.
 
 Words repeat, so each process keeps a bounded memo from word to encoded bytes, in two generations: when the younger
 is full it becomes the older one, and words still in use come back from there.
@@ -23,9 +29,11 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cache, cached_property, lru_cache
 
+import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 from tessera.llm.common import claim
 
@@ -33,20 +41,25 @@ END = "\x00"
 #: Words by the vocabulary's pattern.  Its contractions come before other marks; letters can come first, as no other
 #: alternative starts with one.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPLIT = regex.compile(rf"[\p{{L}}]+|{_CONTRACTIONS}|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
-
-
-def _latin_split() -> re.Pattern:
-    """The same for texts of characters under U+0250, in the faster engine."""
-    kinds = {k: "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
-    spaces = "\t-\r \x85\xa0"
-    return re.compile(f"[{kinds['L']}]+|{_CONTRACTIONS}|[{kinds['N']}]|[^{spaces}{kinds['L']}{kinds['N']}]+")
+#: Unicode white space: fixed values.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = re.compile("[^\x00-\u024f]")
+MEMO_WORDS, MEMO_CHARS = 350_000, 40  # words in each of the memo's two generations; longest word kept
 
 
-_LATIN, _WIDE = _latin_split(), re.compile("[^\x00-\u024f]")
-MEMO_WORDS, MEMO_CHARS = 350_000, 40  # words in each of the memo's two generations; longest word kept
-TRANSITIONS = 400_000  # of those once looked up
-_NEVER = 1 << 60
+@cache
+def splitter(limit: int) -> re.Pattern:
+    """The words of texts whose characters lie under limit; letters and numbers as Python's Unicode tables have them."""
+    kinds = {"L": [], "N": []}
+    for i in range(limit):
+        own = kinds.get(unicodedata.category(chr(i))[0])
+        if own is not None:
+            if own and own[-1][1] == i - 1:
+                own[-1][1] = i
+            else:
+                own.append([i, i])
+    letters, numbers = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in kinds[k]) for k in "LN")
+    return re.compile(f"[{letters}]+|{_CONTRACTIONS}|[{numbers}]|[^{_SPACES}{letters}{numbers}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -77,95 +90,138 @@ class _Memo(dict):
     def forget(self) -> None:
         self.older = {}
         self.clear()
-        self.own.table.clear()
 
 
 class Automaton:
     def __init__(self, path: str) -> None:
+        self.file = path
         spec = json.load(open(path, encoding="utf-8"))
         suffix = spec["model"].get("end_of_word_suffix") or ""
         vocab: dict[str, int] = spec["model"]["vocab"]
+        self.end = END if suffix else ""
         inner = lambda t: t[: -len(suffix)] + END if suffix and t.endswith(suffix) else t
         self.label = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label |= {i: t for t, i in self.special.items()}
         self.token = {inner(t): i for t, i in vocab.items() if t not in self.special}
-        self.longest: dict[str, int] = {}  # by its first three symbols, the longest token
-        for t in self.token:
-            self.longest[t[:3]] = max(self.longest.get(t[:3], 0), len(t.rstrip(END)))
-        n = max(self.label) + 1
-        # gadget data by token: rank at which it was made, its left and right part; base symbols are their own spine
-        self.rank = array("q", [-1]) * n
-        self.left, self.right = array("i", [-1]) * n, array("i", [-1]) * n
-        self.lost: dict[tuple[int, int], int] = {}  # (state's token, arc's token) -> rank of the deletion
-        for r, pair in enumerate(spec["model"]["merges"]):
-            u, v = pair.split(" ") if isinstance(pair, str) else pair
-            self._gadget(r, vocab[u], vocab[v], vocab[u + v])
-        self.table: dict[int, bool] = {}  # by state and token
+        self.length = array("i", [0]) * (max(self.label) + 1)
+        for t, i in self.token.items():
+            self.length[i] = len(t.rstrip(END))
+        merges = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+        self._compile([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+        self.tree: dict = {}  # the arcs' labels, by symbol; under "" the token itself
+        for t, i in self.token.items():
+            if i in self.made:
+                node = self.tree
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[""] = i
         self.symbols = dict(enumerate(byte_symbols()))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo = _Memo(self)
 
-    def _gadget(self, r: int, u: int, v: int, w: int) -> None:
-        self.lost.setdefault((u, v), r)
-        if u == v:
-            self.lost.setdefault((u, w), r)
-        if self.left[w] < 0:
-            self.rank[w], self.left[w], self.right[w] = r, u, v
-
-    def arc(self, state: int, t: int) -> bool:
-        """Whether the state after token ``state`` has an arc ``t``."""
-        known = self.table.get(state << 20 | t)
-        if known is None:
-            known, s, upto = True, state, _NEVER
-            while known and s >= 0:
-                a, limit = t, upto
-                while a >= 0:
-                    if self.lost.get((s, a), _NEVER) < limit:
-                        known = False
-                        break
-                    if self.left[a] >= 0:
-                        limit = min(limit, self.rank[a])
-                    a = self.left[a]
-                if self.right[s] >= 0:
-                    upto = min(upto, self.rank[s])
-                s = self.right[s]
-            if len(self.table) > TRANSITIONS:
-                self.table.clear()
-            self.table[state << 20 | t] = known
-        return known
+    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
+        """Gadget after gadget, then the transition table: ``state`` and ``arc`` by token, ``rows`` by state."""
+        n = len(self.length)
+        states, arcs = [-1], [-1]  # the version that each version continues
+        state, arc = [0] * n, [0] * n  # each token's latest version
+        results = {w for _, _, w in merges}
+        self.made = set(self.token.values()) - results
+        for u, v, w in merges:
+            possible = u in self.made and v in self.made and not _meet(states, state[u], arcs, arc[v])
+            if possible and w in self.made:
+                raise ValueError(f"token {w} is made by two merges")
+            states.append(state[u])
+            arcs.append(arc[v])
+            new = len(states) - 1
+            if possible:
+                self.made.add(w)
+                state[w], arc[w] = state[v], new if u == v else arc[u]
+            state[u] = arc[v] = new
+        # arcs' versions in the order of a walk over their tree: what continues a version is an interval
+        used = sorted({arc[t] for t in self.made})
+        below: list[list[int]] = [[] for _ in arcs]
+        for i in range(len(arcs) - 1, 0, -1):
+            below[arcs[i]].append(i)
+        kinds, column, upto, now, todo = set(used), {}, [0] * len(arcs), 0, [0]
+        first = [0] * len(arcs)
+        while todo:
+            i = todo.pop()
+            if i < 0:
+                upto[~i] = now
+                continue
+            first[i] = now
+            if i in kinds:
+                column[i] = now
+                now += 1
+            todo.append(~i)
+            todo += below[i]
+        self.arc = array("i", [column.get(arc[t], 0) for t in range(n)])
+        # states' rows, parents first: the parent's row less the interval of the deletion
+        after: list[list[int]] = [[] for _ in states]
+        for i in range(len(states) - 1, 0, -1):
+            after[states[i]].append(i)
+        wanted = {state[t] for t in self.made}
+        rows: dict[int, bytes] = {}
+        walk: list[tuple[int, np.ndarray]] = [(0, np.ones(now, bool))]
+        while walk:
+            i, row = walk.pop()
+            if i:
+                if upto[i] > first[i]:
+                    row = row.copy()
+                    row[first[i] : upto[i]] = False
+            if i in wanted or not i:
+                rows[i] = np.packbits(row, bitorder="little").tobytes()
+            walk += [(k, row) for k in after[i]]
+        self.rows = [rows.get(state[t], rows[0]) for t in range(n)]  # rows of tokens that share a state are one object
+        self.start = rows[0]
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Normalises texts that aren't Latin, and splits those with characters that Python's Unicode tables don't know.
+
+        The library's tables are of other Unicode versions than Python's, older ones and newer ones.
+        """
+        return Tokenizer.from_file(self.file)
+
+    def follows(self, token: int, t: int) -> bool:
+        """Whether the state after ``token`` has an arc ``t``."""
+        a = self.arc[t]
+        return bool(self.rows[token][a >> 3] >> (a & 7) & 1)
 
     def word(self, word: str) -> list[int]:
         """The ids on the accepted path of a pre-split word."""
-        s = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
-        n, whole = len(s), s + END
-        get, arc, longest, known = self.token.get, self.arc, self.longest.get, self.table.get
-        path: list[int] = []
-        begins: list[int] = []
-        dead: set[tuple[int, int]] = set()  # (place, token) from which the word's end can't be reached
-        i, state, j = 0, -1, longest(s[:3], 2)
-        while True:
-            if j >= n:
-                t = get(whole[i:])
-                if t is not None and (state < 0 or known(state << 20 | t) or arc(state, t)):
-                    path.append(t)
-                    return path
-                j = n - 1
-            while j > i:
-                t = get(s[i:j])
-                if t is not None and (state < 0 or known(state << 20 | t) or arc(state, t)) and (not dead or (j, t) not in dead):
-                    path.append(t)
-                    begins.append(i)
-                    i, state = j, t
-                    j = i + longest(s[i : i + 3], 2)
+        return self.path(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols))
+
+    def path(self, s: str) -> list[int]:
+        """The same of a word's byte symbols."""
+        at = len(s)
+        s += self.end
+        n, arc, rows, tree = len(s), self.arc, self.rows, self.tree
+        last = [-1] * (n + 1)  # the token that ends each prefix
+        row = self.start
+        for i in range(n):
+            node = tree
+            for j in range(i, n):
+                node = node.get(s[j])
+                if node is None:
                     break
-                j -= 1
-            else:
-                if not path:
-                    raise ValueError(f"no path for {word[:50]!r}")
-                dead.add((i, path.pop()))
-                j, i = i - 1, begins.pop()
-                state = path[-1] if path else -1
+                if "" in node and last[j + 1] < 0:
+                    t = node[""]
+                    a = arc[t]
+                    if row[a >> 3] >> (a & 7) & 1:
+                        last[j + 1] = t
+            if last[n] >= 0:
+                break
+            if last[i + 1] < 0:
+                raise ValueError(f"no path for {s[:50]!r}")
+            row = rows[last[i + 1]]
+        path, length = [last[n]], self.length
+        at -= length[last[n]]
+        while at:
+            path.append(last[at])
+            at -= length[last[at]]
+        return path[::-1]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -174,8 +230,13 @@ class Automaton:
         if self.cut and "<|" in text and self.cut.search(text):
             parts = self.cut.split(text)
             return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self.encode(p) for p in parts)
-        text = prepared(text)
-        words = (_SPLIT if _WIDE.search(text) else _LATIN).findall(text)
+        if _WIDE.search(text):
+            text = self.library.normalizer.normalize_str(text)
+            if any(unicodedata.category(c) == "Cn" for c in set(text)):
+                return b"".join([array("I", self.path(w)).tobytes() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
+        else:
+            text = prepared(text)
+        words = splitter(0x110000 if _WIDE.search(text) else 0x250).findall(text)
         return b"".join(map(self.memo.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
@@ -183,12 +244,19 @@ class Automaton:
         return " ".join([label[i] for i in memoryview(ids).cast("I")])
 
 
+def _meet(states: list[int], s: int, arcs: list[int], a: int) -> bool:
+    """Whether a deletion lies on both versions' ways to their roots (numbers fall on the way)."""
+    while s != a:
+        if s > a:
+            s = states[s]
+        else:
+            a = arcs[a]
+    return s > 0
+
+
 def prepared(text: str) -> str:
-    """NFC, and lower case by single characters.  White space only separates words, so it may stay as it is."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+    """NFC and lower case of Latin text.  White space only separates words, so it may stay as it is."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
 
 
 @lru_cache(maxsize=2)

@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 from hashlib import sha256
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe
-from tessera.llm.bpe_automaton import automaton, default_path
+from tessera.llm.bpe_automaton import Automaton, automaton, default_path
 
 TEXTS = [
     "Hello, world's   best\n\tthing'll do it!!", "", None, " \n", "ÉCOLE été ΣΑΣ straße İ", "<|endoftext|>a <|startoftext|>", "a" * 3000, "#" * 2001, "日本語 テスト １２３ ½ x²",
@@ -52,3 +53,44 @@ def test_encode_decode(spark, library):
 
 def test_empty(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_scalar_value_matches_the_library(library):
+    own = automaton(default_path())
+    scalars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}x {c}" for c in scalars[at : at + 128]) for at in range(0, len(scalars), 128)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == struct.pack(f"<{len(want.ids)}I", *want.ids), hex(ord(text[0]))
+
+
+def greedy(word, merges):
+    """Tokens of a word by applying the merges one after the other."""
+    parts = list(word)
+    for u, v in merges:
+        out = []
+        for p in parts:
+            if out and out[-1] == u and p == v:
+                out[-1] = u + v
+            else:
+                out.append(p)
+        parts = out
+    return parts
+
+
+def test_automata_of_random_merges(tmp_path):
+    """Compiled automata accept what the merges make, also where a merge can never happen or runs overlap."""
+    rng = random.Random(11)
+    for turn in range(60):
+        tokens, merges = list("abc"), []
+        for _ in range(rng.randint(1, 12)):
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            if u + v not in tokens:
+                tokens.append(u + v)
+                merges.append((u, v))
+        spec = {"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [f"{u} {v}" for u, v in merges], "end_of_word_suffix": ""}, "added_tokens": []}
+        path = tmp_path / f"{turn}.json"
+        path.write_text(json.dumps(spec))
+        own = Automaton(str(path))
+        for _ in range(200):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
+            assert [own.label[i] for i in own.word(word)] == greedy(word, merges), (word, merges)
