@@ -5,7 +5,7 @@ from collections import Counter
 
 from tessera.llm import substring_dedup as op
 
-W = op.WINDOW
+W = op.BYTES.window
 
 
 def brute(rows):
@@ -45,7 +45,7 @@ def cases(seed=3, n=60):
 
 def test_against_brute_force(spark):
     rows = cases()
-    assert sorted(map(tuple, op.repeats(frame(spark, rows)).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r)[:5] for r in op.repeats(frame(spark, rows)).collect()), key=str) == brute(rows)
 
 
 def test_long_texts_cross_buffers(spark, monkeypatch):
@@ -65,17 +65,55 @@ def test_ranges_cover_each_window_once():
     place, lo, hi = op.ranges(buf, [(0, 1200), (1200, 1500), (1500, 5000)])
     windows = [w for a, z in zip(lo, hi) for w in range(a, z + 1)]
     assert windows == [*range(0, 801), *range(1500, 4601)]
-    assert all(a <= p and p + op.DIGIT <= a + W and z <= p for p, a, z in zip(place, lo, hi))
+    assert all(a <= p and p + op.BYTES.digit <= a + W and z <= p for p, a, z in zip(place, lo, hi))
+
+
+def test_left_text(spark):
+    got = {r["doc_id"]: r for r in op.repeats(frame(spark, [(1, "é" * 100 + "x" * 500), (2, "a" + "x" * 500), (3, None)])).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == ["é" * 100, "a", ""]
+    assert [got[i]["n_bytes"] for i in (1, 2, 3)] == [700, 501, 0]
+
+
+def without_words(texts, n):
+    """Brute force: texts without words that lie in a run of n words that also starts elsewhere."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t) for t in texts]
+    bare = [[w.strip(" \t\n\r\x0b\x0c") for w in ws] for ws in words]
+    seen = Counter(tuple(ws[i : i + n]) for ws in bare for i in range(len(ws) - n + 1))
+    out = []
+    for t, ws, bs in zip(texts, words, bare):
+        gone = {k for i in range(len(bs) - n + 1) if seen[tuple(bs[i : i + n])] > 1 for k in range(i, i + n)}
+        head = t[: len(t) - len("".join(ws))]
+        out.append(head + "".join(w for i, w in enumerate(ws) if i not in gone))
+    return out
 
 
 def test_strip(spark):
-    rows = cases(4, 20)
-    docs = spark.createDataFrame([(d, t, len(t or ""), "x", "y") for d, t in rows], "doc_id long, text string, n_chars int, ranges string, row string")
+    rng = random.Random(9)
+    n = op.WORDS.window
+    pool = [rng.choice(["a", "bé", "ccc", "d.", "ee"]) for _ in range(4000)]
+    texts = ["", " ", "x " * 49, "x " * 50, "y " * 51, "  z" * 130, "Solo text."]
+    for _ in range(60):
+        a, b = rng.randint(0, 3800), rng.randint(0, 3800)
+        own = [f"w{rng.random()}" for _ in range(rng.randint(0, 60))]
+        texts.append(rng.choice([" ", "\n", " \t "]).join(own + pool[a : a + rng.choice([30, 49, 50, 51, 90])] + own[::-1] + pool[b : b + rng.randint(0, 120)]))
+    docs = spark.createDataFrame([(i, t, len(t), "x", "y") for i, t in enumerate(texts)] + [(None, None, None, "x", "y")], "doc_id long, text string, n_chars int, ranges string, row string")
     got = op.strip(docs)
-    assert got.schema == docs.schema and got.count() == len(rows)
-    want = {x[0]: x for x in brute(rows)}
+    assert got.schema == docs.schema and got.count() == len(texts) + 1
+    want = without_words(texts, n)
+    assert any(w != t for w, t in zip(want, texts)) and any(w == t != "" for w, t in zip(want, texts))
     for r in got.collect():
-        assert r["n_chars"] == len(r["text"] or "")
+        if r["doc_id"] is None:
+            assert r["text"] is None
+        else:
+            assert r["text"] == want[r["doc_id"]]
+            assert r["n_chars"] == len(r["text"])
+
+
+def test_strip_of_bytes(spark):
+    rows = cases(4, 20)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, th string")
+    want = {x[0]: x for x in brute(rows)}
+    for r in op.strip(docs, op.BYTES).collect():
         if r["doc_id"] not in (None, 4) and not want[r["doc_id"]][2]:
             assert r["text"] == dict(rows)[r["doc_id"]]
 
