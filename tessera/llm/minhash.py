@@ -38,6 +38,7 @@ from tessera.operators.components import components
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 LARGE, X_BLOCK, Y_BLOCK, BLOCK = 32, 512, 256, 1024  # classes from which a component counts as large; block sizes
+SALTS = 64  # parts of a component in joins on it
 MARGIN = 5 * (0.8 * 0.2 / HASHES) ** 0.5
 _draw = np.random.default_rng(7919)
 _A = _draw.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,12 +190,15 @@ def _with_components(asked: DataFrame, found: DataFrame, sizes: DataFrame, class
     """
     least = threshold / 100 - MARGIN
     cuts = asked.groupBy("c").agg(F.ceil(F.count("*") / X_BLOCK).cast("int").alias("xs")).join(sizes.where(F.col("size") > LARGE).withColumnRenamed("component", "c"), "c")
-    cuts = cuts.select("c", "xs", F.ceil(F.col("size") / Y_BLOCK).cast("int").alias("ys"))
+    # salted: whichever side adaptive execution streams, a giant component's rows lie in many keys
+    cuts = cuts.select("c", "xs", F.ceil(F.col("size") / Y_BLOCK).cast("int").alias("ys"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cuts = written(cuts, "cuts")
+    salted = lambda rows, by: rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)).cast("int")).join(cuts, ["c", "salt"])
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     full = classes.select("id", "n", "minima").join(texts, "id")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    xs = asked.join(cuts, "c").select("c", F.col("x").alias("id"), F.pmod(F.xxhash64("x"), F.col("xs")).cast("int").alias("xb"), upto("ys").alias("yb")).join(full, "id").select("c", "xb", "yb", "id", "minima", "text")
-    ys = found.withColumnRenamed("component", "c").join(cuts, "c").select("c", "id", upto("xs").alias("xb"), dealt("ys").alias("yb")).join(full, "id").select(*[F.col(n).alias(n) for n in ("c", "xb", "yb", "id", "minima", "text")])
+    xs = salted(asked, "x").select("c", F.col("x").alias("id"), F.pmod(F.xxhash64("x"), F.col("xs")).cast("int").alias("xb"), upto("ys").alias("yb")).join(full, "id").select("c", "xb", "yb", "id", "minima", "text")
+    ys = salted(found.withColumnRenamed("component", "c"), "id").select("c", "id", upto("xs").alias("xb"), dealt("ys").alias("yb")).join(full, "id").select(*[F.col(n).alias(n) for n in ("c", "xb", "yb", "id", "minima", "text")])
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = [], []
