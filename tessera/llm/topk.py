@@ -5,11 +5,13 @@
 2. One aggregation gives a summary row per cell: how many vectors, the largest r, and its k + 1 smallest r.
    The number of cells is a parameter, so the summary is small whatever the input.
 3. For each query the (k + m)-th largest of the lower bounds over all cells' summaries is a score that its k-th
-   neighbour reaches (m, the number of rows with its vec_id, are left for its own rows).  A cell is needed only if its upper bound reaches that
-   score; the query is replicated to the needed cells alone.
-4. Cells are cut into blocks of bounded size by a hash of the vector (a cell that holds a third of all rows becomes
-   many blocks), and queries of a block into bounded groups.  Each (block, group) is solved locally by one matrix
-   product; its k best per query go on to the final ranking, k rows for each query and block.
+   neighbour reaches (m, the number of rows with its vec_id, are left for its own rows).  A cell is needed only if its
+   upper bound reaches that score.
+4. Queries are grouped by their own cell, in groups of bounded size, so that the queries of a group need much the same
+   cells.  Cells are cut into blocks of bounded size by a hash of the vector (a cell that holds a third of all rows
+   becomes many blocks).  A query goes to the blocks of the cells it needs, and a cell's vectors only to the groups
+   with a query that needs the cell.  Each (block, group) is solved locally by matrix products; its k best per query
+   go on to the final ranking, k rows for each query and block.
 
 Scores are exact: products are computed in float64 while every sum stays below 2^53, else with Python integers.
 
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import load, written
 
-PIVOTS, SAMPLE, BLOCK_ROWS, GROUP_QUERIES = 64, 4096, 8192, 2048
+PIVOTS, SAMPLE, BLOCK_BYTES, MOST_ROWS = 64, 4096, 16 << 20, 32768  # a block or group: that many bytes of vectors, and rows
 _EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
@@ -43,8 +45,15 @@ def scaled(vector: Column, factor: int = 256) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
-def _matrix(vectors: list) -> np.ndarray:
-    return np.array(vectors, np.int64)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length."""
+    flat = vectors.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(vectors), -1)
+
+
+def block_rows(dim: int) -> int:
+    """Vectors of a block, and queries of a group."""
+    return max(1, min(MOST_ROWS, BLOCK_BYTES // (8 * dim)))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,11 +110,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS,
     near = Window.partitionBy("dim", "cell", "part").orderBy("r")
     parts = cells.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     least = parts.withColumn("i", F.row_number().over(near)).where(F.col("i") <= k + 1).groupBy("dim", "cell").agg(F.sort_array(F.collect_list("r")).alias("least"))
-    summary = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("r").alias("most")).join(least, ["dim", "cell"])
-    summary = {(s["dim"], s["cell"]): (s["n"], s["most"], s["least"][: k + 1]) for s in summary.collect()}
-    blocks = {key: -(-n // BLOCK_ROWS) for key, (n, _, _) in summary.items()}
+    summary = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("asked"), F.max("r").alias("most")).join(least, ["dim", "cell"])
+    summary = {(s["dim"], s["cell"]): (s["n"], s["most"], s["least"][: k + 1], s["asked"]) for s in summary.collect()}
+    blocks = {key: -(-s[0] // block_rows(key[0])) for key, s in summary.items()}
+    groups = {key: max(1, -(-s[3] // block_rows(key[0]))) for key, s in summary.items()}
     known = spark.sparkContext.broadcast((summary, blocks))
-    groups = max(1, -(-cells.where("is_query").count() // GROUP_QUERIES))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, cut = known.value
@@ -127,25 +136,30 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS,
                 times = np.array([cut[n, i] for i in cell], int)
                 at = np.repeat(np.arange(len(q)), times)
                 block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                mine = part["part"].to_numpy()
                 vec = part["vec_id"].to_numpy()[q[at]]
                 for lo in range(0, len(at), 4096):
                     s = slice(lo, lo + 4096)
-                    yield pd.DataFrame({"dim": n, "cell": cell[at[s]], "block": block[s], "query_id": vec[s], "q": [part["v"].iloc[i] for i in q[at[s]]]})
+                    yield pd.DataFrame({"dim": n, "cell": cell[at[s]], "block": block[s], "part": mine[q[at[s]]], "query_id": vec[s], "q": [part["v"].iloc[i] for i in q[at[s]]]})
+
+    def numbers(of: dict[tuple[int, int], int]) -> Column:
+        """Of the row's cell: there are at most PIVOTS for each vector length."""
+        found = F.create_map(*[F.lit(x) for (d, c), n in of.items() for x in (d * 65536 + c, n)]) if of else F.create_map(F.lit(0), F.lit(1))
+        return F.coalesce(found[F.col("dim") * 65536 + F.col("cell")], F.lit(1))
 
-    group = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int").alias("part")
+    first = dict(zip(groups, np.cumsum([0, *groups.values()])[:-1].tolist(), strict=True))
+    group = (numbers(first) + F.pmod(F.xxhash64("vec_id", F.lit(1)), numbers(groups))).cast("int").alias("part")
     repeated = cells.groupBy("dim", "vec_id").agg(F.count("*").alias("own")).where("own > 1")
-    asked = cells.where("is_query").join(repeated, ["dim", "vec_id"], "left").select("vec_id", "v", "dim", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = asked.mapInPandas(needed, "dim int, cell int, block int, query_id long, q array<long>").select("*", group)
-    cuts = F.create_map(*[F.lit(x) for (d, c), n in blocks.items() for x in (d * 65536 + c, n)]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    data = cells.select(
-        "dim", "cell", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.coalesce(cuts[F.col("dim") * 65536 + F.col("cell")], F.lit(1))).cast("int").alias("block"), "vec_id", "v",
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"),
-    )
+    asked = cells.where("is_query").join(repeated, ["dim", "vec_id"], "left").select("vec_id", "v", "dim", F.coalesce("own", F.lit(1)).alias("own"), group)
+    asked = written(asked.mapInPandas(needed, "dim int, cell int, block int, part int, query_id long, q array<long>"), "topk-asked")
+    wanted = written(asked.select("dim", "cell", "part").distinct().groupBy("dim", "cell").agg(F.collect_list("part").alias("parts")), "topk-wanted")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(2)), numbers(blocks)).cast("int").alias("block")
+    data = cells.select("dim", "cell", block, "vec_id", "v").join(wanted, ["dim", "cell"]).withColumn("part", F.explode("parts")).drop("parts")
 
     def solve(q: pa.Table, x: pa.Table) -> pa.Table:
         out = ([], [], [])
         if q.num_rows and x.num_rows:
-            a, b = _matrix(q["q"].to_pylist()), _matrix(x["v"].to_pylist())
+            a, b = _matrix(q["q"]), _matrix(x["v"])
             ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             b, ids = b[order], ids[order]

@@ -35,11 +35,25 @@ def test_against_brute_force(spark):
 
 
 def test_small_blocks_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(op, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(op, "MOST_ROWS", 3)
     assert found(spark, cases(), pivots=7, sample=50) == brute(cases())
 
 
+def test_vectors_go_only_to_groups_that_need_them(spark, monkeypatch):
+    rng = random.Random(4)
+    centres = [[100.0 * math.cos(a), 100.0 * math.sin(a)] for a in range(6)]
+    rows = [(i, [x + rng.gauss(0, 0.5) for x in centres[i % 6]]) for i in range(1800)]
+    tables, plain = {}, op.written
+    monkeypatch.setattr(op, "MOST_ROWS", 4)
+    monkeypatch.setattr(op, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    assert found(spark, rows, pivots=12) == brute(rows)
+    sizes = {r["cell"]: r["count"] for r in tables["topk-cells"].groupBy("cell").count().collect()}
+    wanted = {r["cell"]: sorted(r["parts"]) for r in tables["topk-wanted"].collect()}
+    groups = {p for parts in wanted.values() for p in parts}
+    sent = sum(sizes[c] * len(parts) for c, parts in wanted.items())
+    assert len(groups) >= 9 and sent < 0.5 * len(rows) * len(groups)
+
+
 def test_large_components_and_few_candidates(spark):
     rows = [(0, [1e6, -3.5]), (1, [2e6, 1e7]), (2, [-1e6, 4.25]), (50, [1.0, 1e6])]
     assert found(spark, rows) == brute(rows)
