@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from tessera.llm import html_extract as op
 
@@ -15,6 +16,35 @@ def test_blocks():
     assert op.blocks(None) == op.blocks("") == op.blocks("<script>x") == op.blocks("<!-- open") == ([], False)
 
 
+def test_classes_count_as_a_whole():
+    for c in ("post has-sidebar", "share-price-report", "notification-service", "notice"):
+        assert op.blocks(f'<article class="{c}"><p>Text</p></article>') == (["Text"], True)
+    assert op.blocks('<main class="with-sidebar"><p>Text') == (["Text"], True)
+    assert op.blocks('<article><p class="notice-board">Text</p><p class="notice">x</p><article class="comment">y</article><div class="site-footer">z') == (["Text"], True)
+
+
+def test_broken_markup_takes_linear_time():
+    begin = time.monotonic()
+    assert op.blocks("<p>a</p>" + "<a " * 1_700_000) == (["a"], False)
+    for broken in ("<a =\"", "<a ='x'\" ", "</a ", "<!--", "<!- ", "<", "<b>", "<i></b>", "<p class='", "&", "<script"):
+        op.blocks("<p>a</p>" + broken * 200_000)
+    op.blocks("<span><div>" + "<b>" * 100_000 + "</span>" * 100_000)
+    assert time.monotonic() - begin < 40
+    assert op.blocks("<p title=it's>a</p><p title='a>b'>c</p><p class=\"x>d</p>") == (["a", "c", "d"], False)
+
+
+def test_blocks_that_most_main_texts_have_go(spark):
+    notice = "<p>Read our terms of use before you copy any of this</p>"
+    quoted = "<p>A passage of ten words that only three of them quote</p>"
+    rows = [(k, f"http://a.example/{k}", f"<article>{notice}<p>Story {k} {' '.join(f'w{k}x{i}' for i in range(20))}</p>{quoted if k < 3 else ''}</article>") for k in range(10)]
+    rows += [(20 + k, "http://b.example/", f"<article><p>{'copied words of an article ' * 4}</p><p>{'y' * (k + 1)}</p></article>") for k in range(12)]
+    rows += [(40 + k, "http://c.example/", f"<article>{notice}<p>{'own words here ' * 9}</p></article>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(f"Story {k} ") for k in range(10))
+    assert [k for k in range(10) if got[k].endswith("them quote")] == [0, 1, 2]
+    assert all(got[20 + k].startswith("copied") and got[40 + k].startswith("Read our") for k in range(12))  # a group of near copies; one text
+
+
 def test_pages_with_marked_text(spark):
     pages = {r["page_id"]: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     for r in op.op5_html_extract(spark, "/root/testdata/sf0.01").collect():
