@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import defaultdict
+
 from tessera.llm import url_filter as op
 
 CASES = [
@@ -37,3 +42,88 @@ def test_native_plan_and_empty(spark):
     plan = op.op7_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
     assert op.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def brute(urls, rules, variable=0.5, z=1.96, coverage=0.5, alpha=4.0, purity=0.8):
+    """Verdicts by plain loops over the pages."""
+    rows = []
+    for url in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(str.maketrans(op._UPPER, op._LOWER)), m[2]) if m else ("", "")
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        ruled = max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r))[2] if fits else None
+        segs = []
+        for s in filter(None, path.split("/")):
+            ext = re.search(r"(\.[A-Za-z]{1,5})$", s)
+            ext = ext[1] if ext else ""
+            stem = s[: len(s) - len(ext)]
+            segs.append(("<n>" if re.fullmatch("[0-9]+", stem) else "<id>" if re.search("[0-9]", stem) and len(stem) >= 6 else stem) + ext)
+        rows.append((host, segs, ruled))
+    values = defaultdict(list)
+    for host, segs, _ in rows:
+        for d, s in enumerate(segs):
+            values[host, d].append(s)
+
+    def low(v):
+        n, p = len(v), len(set(v)) / len(v)
+        return (p + 4.5 / n - 3 * math.sqrt(p * (1 - p) / n + 2.25 / n**2)) / (1 + 9 / n)
+
+    free = {k for k, v in values.items() if low(v) >= variable}
+    rows = [(host, tuple("<*>" if (host, d) in free else s for d, s in enumerate(segs)), ruled) for host, segs, ruled in rows]
+
+    def rate(some):
+        labelled = [r for r in some if r]
+        return sum(r == "block" for r in labelled), len(labelled)
+
+    merged = []
+    for host, segs, ruled in rows:
+        way = []
+        for d in range(len(segs)):
+            own = rate(r for h, s, r in rows if h == host and s[: d + 1] == segs[: d + 1])
+            pool = rate(r for h, s, r in rows if h == host and len(s) > d and s[:d] == segs[:d])
+            p = pool[0] / pool[1] if pool[1] else 0
+            apart = own[1] and abs(own[0] / own[1] - p) > z * math.sqrt(p * (1 - p) / own[1]) + 1e-9
+            way.append(segs[d] if apart else "<+>")
+        merged.append((host, tuple(way), ruled))
+    whole = rate(r for _, _, r in rows)
+    out = []
+    for host, way, ruled in merged:
+        p, bad = whole[0] / max(1, whole[1]), False
+        for d in range(len(way) + 1):
+            under = [r for h, w, r in merged if h == host and w[:d] == way[:d]]
+            b, n = rate(under)
+            p = (b + alpha * p) / (n + alpha)
+            bad = p >= purity and n >= coverage * len(under) if n else bad
+        out.append(ruled or ("block" if bad else "allow"))
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(6)
+    rules = (*op.RULES, ("org", "/shop/x", "block"), ("c.org", "/a/", "allow"), ("c.org", "/b/spam/", "block"))
+    urls = [None, "", "no scheme", "http://x.net", "http://x.net/"]
+    for _ in range(900):
+        host = rng.choice(["x.net", "y.net", "www.example.com", "b.example.com", "c.org", "d.org", "e.edu"])
+        lang = rng.choice(["es", "fr", "fr", "en"] if host == "x.net" else ["es", "de", "en", "shop", "a", "b"])
+        tail = rng.choice(["", "spam/", "news/", f"x{rng.randint(0, 9)}", f"t{rng.randint(0, 400)}"])
+        urls.append(f"http://{host}/{lang}/{tail}" + rng.choice(["", f"/{rng.randint(1, 99)}.html", "?q"]))
+    want = brute(urls, rules)
+    got = {r["page_id"]: r for r in op.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert [got[i]["verdict"] for i in range(len(urls))] == want
+    by_method = [got[i]["verdict"] for i in range(len(urls)) if got[i]["rule"] is None]
+    assert by_method.count("block") > 20 and by_method.count("allow") > 20
+
+
+def test_given_rules_and_the_tree(spark):
+    """Urls shaped like those of the table pages: on a host whose labelled sections are blocked, the few others are too."""
+    urls = [f"http://m.a.net/{lang}/{i}" for lang, n in (("es", 60), ("fr", 50), ("en", 20)) for i in range(n)]
+    urls += [f"http://b.net/{lang}/{i}" for lang, n in (("es", 10), ("en", 90)) for i in range(n)] + [f"http://c.org/en/{i}" for i in range(9)]
+    urls += [f"http://d.example.com/{lang}/{i}" for lang in ("en", "de") for i in range(40)]
+    got = {r["page_id"]: r for r in op.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    seen = defaultdict(set)
+    for i, url in enumerate(urls):
+        seen[url.rsplit("/", 1)[0], got[i]["rule"]].add(got[i]["verdict"])
+    assert seen["http://m.a.net/en", None] == {"block"}  # 110 of 130 labelled, all blocked
+    assert seen["http://b.net/en", None] == {"allow"}  # 10 of 100 labelled
+    assert seen["http://c.org/en", None] == {"allow"}  # no labels
+    assert seen["http://d.example.com/de", "com/"] == {"allow"} and seen["http://d.example.com/en", "example.com/en/"] == {"block"}
