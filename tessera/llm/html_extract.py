@@ -255,7 +255,8 @@ def extract(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     parsed = written(_parsed(pages, depth), "pages")
     marked = parsed.where("marked")
-    salted = _common(marked).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
+    # a table, so that its size is known: only a large one makes the pages move
+    salted = written(_common(marked), "common").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
     dealt = marked.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     sure = dealt.select("page_id", "url", "texts", "mains", "keys", "common").mapInArrow(uncommon, schema)
     open_ = parsed.where("NOT marked")
