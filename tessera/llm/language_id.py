@@ -38,6 +38,7 @@ from tessera.llm.common import claim, load
 ALPHABET, PIECE, LANES = 64, 512, 4096
 LETTERS, SPELT = 45, 255  # how many letters are a symbol; mark of the others
 PAD, OTHER, DIGIT = ALPHABET - 1, LETTERS + 1, LETTERS + 2
+SALTS = 64
 SHARED, LEAST = 16, 512  # beyond so many languages they share the characters; but so many each
 _LETTER = regex.compile(r"\p{L}")
 _COUNT = 29  # bits from here on hold how many phrases a transition ends
@@ -211,8 +212,10 @@ def train(labelled: DataFrame, docs_per_language: int = 96, chars_per_language:
     """Fits a model on a bounded sample of labelled (doc_id, lang, text)."""
     labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     placed = labelled.withColumn("place", F.xxhash64("doc_id", "text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = placed.select("lang", "place").distinct().withColumn("nth", nth).where(F.col("nth") <= docs_per_language).drop("nth")
+    # the least places of each part of a language, then of the language: at most SALTS * docs_per_language rows in a group
+    least = lambda rows, *by: rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("nth") <= docs_per_language).drop("nth")
+    parts = placed.select("lang", "place").distinct().withColumn("salt", F.pmod("place", F.lit(SALTS)))
+    chosen = least(least(parts, "lang", "salt").drop("salt"), "lang")
     each = 4 * chars_per_language // docs_per_language
     begin = F.pmod("place", F.greatest(F.lit(1), F.char_length("text") - each + 1)).cast("int") + 1
     spans = placed.withColumn("span", F.substring("text", begin, F.lit(each))).join(F.broadcast(chosen), ["lang", "place"])
