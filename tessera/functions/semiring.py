@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +28,13 @@ SEMIRINGS = {
     "min_max": Semiring(lambda x, y: F.greatest(x, y), F.min),
     "or_and": Semiring(lambda x, y: F.when((x != 0) & (y != 0), 1).otherwise(0), F.max),
 }
+
+#: The same on arrays, for products of blocks.
+KERNELS = {
+    "plus_times": (np.multiply, np.add),
+    "min_plus": (np.add, np.minimum),
+    "max_plus": (np.add, np.maximum),
+    "max_min": (np.minimum, np.maximum),
+    "min_max": (np.maximum, np.minimum),
+    "or_and": (lambda x, y: ((x != 0) & (y != 0)).astype(np.int64), np.maximum),
+}

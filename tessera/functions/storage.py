@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary folder is used.
+    Taken from ``spark.checkpoint.dir``; where that is unset a temporary folder is used on a local master only.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="tessera-")]
         found = _OWN[0]
     return found.rstrip("/")
@@ -32,16 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _hadoop_path(spark, path, lambda system, target: system.deleteOnExit(target))  # what isn't dropped goes with the driver
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back
 
 
+def _hadoop_path(spark: SparkSession, path: str, do: Callable) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    do(target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what written() wrote; call it only when nothing lazy reads it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hadoop = df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
+        _hadoop_path(df.sparkSession, path, lambda system, target: system.delete(target, True))

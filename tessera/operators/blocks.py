@@ -1,20 +1,26 @@
 """Block-sparse matrices as coordinate rows (i, k, x) or blocks (brow, bcol, data: m*m values by row).
 
-Products are an equi-join on the inner index and an aggregation with partial sums; the optimizer picks the join, and
-adaptive execution splits an inner index that holds many rows.  Values are widened to bigint and clipped, never wrapped.
+Products of sparse matrices are an equi-join on the inner index and an aggregation with partial sums; the optimizer
+picks the join, and adaptive execution splits an inner index that holds many rows.  Products of matrices whose blocks
+are well filled join blocks instead, one row for a pair of blocks, and multiply them as arrays.  Values are widened to
+bigint and clipped, never wrapped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.semiring import SEMIRINGS, Semiring
+from tessera.functions.semiring import KERNELS, SEMIRINGS, Semiring
 
 U16, U32 = 65_535, 4_294_967_295
+CHUNK = 65_536  # rows of blocks numbered together
+BATCH = 1 << 20  # elements of the blocks sent on together
 BLOCKS = "brow int, bcol int, data array<bigint>"
 
 
@@ -64,6 +70,69 @@ def multiply(a: DataFrame, b: DataFrame, semiring: str = "plus_times", cap: int
     return _product(pairs, SEMIRINGS[semiring], cap)
 
 
+def multiply_blocks(a: DataFrame, b: DataFrame, m: int, semiring: str = "plus_times", cap: int | None = U32, upper: bool = False) -> DataFrame:
+    """brow, bcol, data of the product of two matrices of full m x m blocks; ``upper``: the blocks with brow <= bcol.
+
+    Every element of a block takes part, zeros too; absent blocks don't.  Pairs of blocks are multiplied in Arrow batches and
+    summed there while they share a place; the sums of a place are folded as they stream by in its order.
+    """
+    inner, outer = KERNELS[semiring]
+
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if semiring == "plus_times":
+            return x @ y
+        out = inner(x[:, :1], y[:1])
+        for k in range(1, m):
+            out = outer(out, inner(x[:, k : k + 1], y[k : k + 1]))
+        return out
+
+    def batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        i, j, data = zip(*rows, strict=True)
+        flat = pa.array(np.concatenate([d.ravel() for d in data]), pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * m * m, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), lists], ["brow", "bcol", "data"])
+
+    def blocks_of(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, m, m)
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blocks_of(b.column(2)), blocks_of(b.column(3)), strict=True):
+                new = product(x, y)
+                old = sums.get((i, j))
+                sums[i, j] = new if old is None else outer(old, new)
+                if len(sums) * m * m >= BATCH:
+                    yield batch([(*k, v) for k, v in sums.items()])
+                    sums = {}
+            if sums:
+                yield batch([(*k, v) for k, v in sums.items()])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, acc, out = None, None, []
+        clip = lambda x: x if cap is None else np.minimum(x, cap)
+        for b in batches:
+            for i, j, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blocks_of(b.column(2)), strict=True):
+                if (i, j) == last:
+                    acc = outer(acc, x)
+                    continue
+                if last is not None:
+                    out.append((*last, clip(acc)))
+                last, acc = (i, j), x
+                if len(out) * m * m >= BATCH:
+                    yield batch(out)
+                    out = []
+        if last is not None:
+            yield batch([*out, (*last, clip(acc))])
+
+    left = a.select("brow", F.col("bcol").alias("k"), F.col("data").alias("x"))
+    right = b.select(F.col("brow").alias("k"), "bcol", F.col("data").alias("y"))
+    pairs = left.join(right, "k")
+    pairs = pairs.where("brow <= bcol") if upper else pairs
+    sums = pairs.select("brow", "bcol", "x", "y").mapInArrow(multiplied, BLOCKS)
+    return sums.repartition("brow", "bcol").sortWithinPartitions("brow", "bcol").mapInArrow(folded, BLOCKS)
+
+
 def multiply_python(a: DataFrame, b: DataFrame, inner: Callable[[int, int], int], outer: Callable[[int, int], int], start: int = 0) -> DataFrame:
     """i, j, v with any scalar functions, folded by ascending k from ``start``; row by row in Python, hence slow."""
 
@@ -95,9 +164,13 @@ def nonzero_blocks(coo: DataFrame, m: int) -> DataFrame:
 def csr_index(blocks: DataFrame, n_rows: int) -> DataFrame:
     """brow 0..n_rows, ptr: how many blocks lie in the rows before; empty rows too."""
     every = blocks.sparkSession.range(n_rows + 1).select(F.col("id").cast("int").alias("brow"))
-    counts = blocks.groupBy("brow").agg(F.count("*").alias("n"))
-    before = Window.orderBy("brow").rowsBetween(Window.unboundedPreceding, -1)
-    return every.join(counts, "brow", "left").select("brow", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)).cast("bigint").alias("ptr"))
+    counts = every.join(blocks.groupBy("brow").agg(F.count("*").alias("n")), "brow", "left").select("brow", F.coalesce("n", F.lit(0)).alias("n"), _div(F.col("brow"), CHUNK).alias("chunk"))
+    # sums of chunks are few; rows are numbered inside their chunk
+    upto = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("chunk").agg(F.sum("n").alias("of")).select("chunk", F.coalesce(F.sum("of").over(upto), F.lit(0)).alias("start"))
+    before = Window.partitionBy("chunk").orderBy("brow").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return inside.join(starts, "chunk").select("brow", (F.col("start") + F.col("inside")).cast("bigint").alias("ptr"))
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ Of several ranges that hold a key the one declared first wins.
 
 While the ranges fit the driver (MAX_LOCAL rows, checked), overlaps are resolved once into disjoint segments, each with
 the winning range.  A key then lies in one segment at most, so the lookup is one broadcast hash join on key div width
-with the containment as residual, without a shuffle or an aggregation of the keys.  More ranges than that are dealt to
-buckets and joined by an equi-join on the bucket; the smallest range_id per key is then an aggregation.
+with the containment as residual, without a shuffle or an aggregation of the keys.  More ranges than that are dealt by
+their length: a range lies in two buckets at most of the power of two that reaches its length, so a wide one isn't cut
+into many.  Distinct keys are joined on (power, bucket), the smallest range_id per key is an aggregation, and the rows
+take it by their key; both paths give the same rows.
 """
 
 from __future__ import annotations
@@ -99,10 +101,17 @@ def classify(keys: DataFrame, ranges: DataFrame, strict: bool = False, max_local
         return _matched(keys, lookup, width)
     if strict:
         ranges = ranges.select("range_id", (F.col("lo") + 1).alias("lo"), (F.col("hi") - 1).alias("hi"))
-    ranges = ranges.where("lo <= hi")
-    width = max(1, int(ranges.select(F.avg(F.col("hi") - F.col("lo"))).first()[0] or 1))
-    found = _matched(keys, _bucketed(ranges, width), width)
-    return found.groupBy("pos", "key").agg(F.min(F.when(F.col("range_id") > 0, F.col("range_id"))).alias("range_id")).select("pos", "key", F.coalesce("range_id", F.lit(0)).alias("range_id"))
+    # two buckets of 2^power cover a range of that length at most; a wrapped length belongs to the widest power
+    length = F.col("hi") - F.col("lo")
+    power = F.when((length < 0) | (length >= 1 << 61), 62).otherwise(F.ceil(F.log2(length.cast("double") + 1)) + 1).cast("int")
+    leveled = written(ranges.where("lo <= hi").select("range_id", "lo", "hi", F.least(power, F.lit(62)).alias("power")), "ranges")
+    shift = lambda x: F.expr(f"shiftright({x}, power)")
+    ends = leveled.select("power", "range_id", "lo", "hi", F.explode(F.sequence(shift("lo"), shift("hi"))).alias("bucket"))
+    powers = [r["power"] for r in leveled.select("power").distinct().collect()]  # 62 at most
+    asked = keys.select("key").where("key IS NOT NULL").distinct().withColumn("power", F.explode(F.array(*map(F.lit, powers)) if powers else F.array().cast("array<int>")))
+    found = asked.withColumn("bucket", shift("key")).join(ends, ["power", "bucket"]).where(within(F.col("key"), F.col("lo"), F.col("hi")))
+    found = found.groupBy("key").agg(F.min("range_id").alias("range_id"))
+    return keys.join(found, "key", "left").select("pos", "key", F.coalesce("range_id", F.lit(0)).alias("range_id"))
 
 
 def _matched(keys: DataFrame, lookup: DataFrame, width: int) -> DataFrame:
@@ -111,6 +120,11 @@ def _matched(keys: DataFrame, lookup: DataFrame, width: int) -> DataFrame:
     return joined.select("pos", "key", F.coalesce("range_id", F.lit(0)).alias("range_id"))
 
 
+def reset(classified: DataFrame) -> DataFrame:
+    """The keys as they were before classification: range_id 0."""
+    return classified.withColumn("range_id", F.lit(0))
+
+
 def histogram(classified: DataFrame, n_ranges: int) -> DataFrame:
     """range_id 0..n_ranges, cnt; empty ranges count 0."""
     every = classified.sparkSession.range(n_ranges + 1).select(F.col("id").cast("int").alias("range_id"))

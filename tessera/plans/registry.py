@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import written
+from tessera.functions.storage import shared_dir, written
 from tessera.operators import blocks, graph, influence, ranges, truss
 from tessera.operators.components import component_members, components
 from tessera.plans import workloads as w
+from tessera.sources import adjacency, blockmatrix, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,7 +74,15 @@ def range_partition_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.partition_sort(_classified(spark, sf_dir))
 
 
-@_query()
+ADMIT = """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS step, cast(n_regionkey * 7 AS BIGINT) AS lo, cast(n_regionkey * 7 + n_nationkey + 1 AS BIGINT) AS hi FROM nation),
+loop(step, kept) AS (SELECT cast(0 AS BIGINT), cast([] AS STRUCT(lo BIGINT, hi BIGINT)[]) UNION ALL
+  SELECT p.step, CASE WHEN len(list_filter(l.kept, lambda r: (r.lo < p.lo AND p.lo < r.hi) OR (r.lo < p.hi AND p.hi < r.hi))) = 0
+    THEN list_append(l.kept, {'lo': p.lo, 'hi': p.hi}) ELSE l.kept END FROM loop l JOIN p ON p.step = l.step + 1),
+f AS (SELECT kept FROM loop ORDER BY step DESC LIMIT 1)
+SELECT cast(i AS INTEGER) AS range_id, kept[i].lo AS lo, kept[i].hi AS hi FROM (SELECT kept, unnest(range(1, len(kept) + 1)) AS i FROM f)"""
+
+
+@_query(ADMIT)
 def range_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation and region keys as ends: order-dependent admission of a small list."""
     pairs = w.load(spark, sf_dir, "nation").orderBy("n_nationkey").select((F.col("n_regionkey") * 7).alias("lo"), (F.col("n_regionkey") * 7 + F.col("n_nationkey") + 1).alias("hi"))
@@ -97,7 +107,31 @@ SQUARE = f"s AS ({w.S_SQL}), q AS (SELECT a.i, b.i AS j, cast(least(sum(a.x * b.
 
 @_query(f"WITH {SQUARE} SELECT i, j, v FROM q WHERE v <> 0")
 def bm_square_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.square_upper(w.symmetric(spark, sf_dir), w.M)
+    return blocks.square_upper(written(w.symmetric(spark, sf_dir), "symmetric"), w.M)
+
+
+DENSE = 32  # width of the blocks of well filled matrices
+DENSE_SQL = f"d AS (SELECT l_suppkey AS i, l_partkey % {3 * DENSE} AS k, cast(sum(l_quantity) AS BIGINT) AS x FROM lineitem GROUP BY 1, 2)"
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Quantities by supplier and a part's remainder, and the transposed matrix, in blocks of DENSE x DENSE."""
+    lines = w.load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % (3 * DENSE)).alias("j")).agg(F.sum("l_quantity").cast("bigint").alias("v"))
+    lines = written(lines, "dense")
+    return blocks.to_blocks(lines, DENSE), blocks.to_blocks(lines.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), DENSE)
+
+
+@_query(f"WITH {DENSE_SQL} SELECT a.i, b.i AS j, cast(least(sum(a.x * b.x), {blocks.U32}) AS BIGINT) AS v FROM d a JOIN d b USING (k) GROUP BY 1, 2 HAVING sum(a.x * b.x) <> 0")
+def bm_block_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blocks.multiply_blocks(*_dense(spark, sf_dir), DENSE), DENSE)
+
+
+@_query(
+    f"WITH {DENSE_SQL} SELECT a.i, b.i AS j, cast(least(sum(a.x * b.x), {blocks.U16}) AS BIGINT) AS v FROM d a JOIN d b USING (k) "
+    f"WHERE a.i // {DENSE} <= b.i // {DENSE} GROUP BY 1, 2 HAVING sum(a.x * b.x) <> 0"
+)
+def bm_block_square_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blocks.multiply_blocks(*_dense(spark, sf_dir), DENSE, cap=blocks.U16, upper=True), DENSE)
 
 
 def _coo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,17 +239,17 @@ def graph_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM e JOIN d a ON a.id = e.u JOIN d b ON b.id = e.v"""
 )
 def graph_oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.orient(w.edges(spark, sf_dir))
+    return graph.orient(written(w.edges(spark, sf_dir), "edges"))
 
 
 @_query(f"WITH {TRIANGLES} SELECT a, b, c FROM tr")
 def graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangles(w.edges(spark, sf_dir))
+    return graph.triangles(written(w.edges(spark, sf_dir), "edges"))
 
 
 @_query(f"WITH {TRIANGLES} SELECT count(*) AS n FROM tr")
 def graph_triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangles(w.edges(spark, sf_dir)).agg(F.count("*").alias("n"))
+    return graph.triangles(written(w.edges(spark, sf_dir), "edges")).agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {TRIANGLES}, n AS (SELECT u, v, count(*) AS support FROM ({SIDES}) GROUP BY 1, 2) SELECT e.u, e.v, coalesce(support, 0) AS support FROM e LEFT JOIN n ON e.u = n.u AND e.v = n.v")
@@ -277,3 +311,146 @@ def influencer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def influencer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return influence.influencer_reach(written(w.edges(spark, sf_dir), "edges"), w.vertices(spark, sf_dir), K, P)
+
+
+# ---- files: what is written to the shared folder and read back
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def _as_text(lines: DataFrame, name: str) -> str:
+    path = _file(lines.sparkSession, name)
+    text.write_lines(lines, path)
+    return path
+
+
+@_query(w.RANGES_SQL)
+def source_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = w.ranges(spark).coalesce(1).orderBy("range_id").select(F.concat_ws(" ", "lo", "hi").alias("value"))
+    return text.read_ranges(spark, _as_text(lines, "ranges"))
+
+
+@_query(f"SELECT key, count(*) AS n FROM ({w.KEYS_SQL}) WHERE key IS NOT NULL GROUP BY key")
+def source_key_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _as_text(w.keys(spark, sf_dir).select(F.col("key").cast("string").alias("value")), "keys")
+    return text.read_keys(spark, path).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY key) - 1 AS place, key FROM (SELECT key FROM ({w.KEYS_SQL}) ORDER BY key LIMIT 1000)")
+def source_key_text_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the reader's: the first 1000 keys of a sorted file, in its order."""
+    lines = w.keys(spark, sf_dir).where("key IS NOT NULL").orderBy("key").select(F.col("key").cast("string").alias("value"))
+    first = text.read_keys(spark, _as_text(lines, "keys"), most=1000)
+    return ranges.partition_sort(first.withColumn("range_id", F.lit(0))).select(F.col("slot").alias("place"), "key")
+
+
+def _block_file(spark: SparkSession, sf_dir: str, width: int, half: bool = False) -> str:
+    path = _file(spark, "blocks")
+    coo = _coo(spark, sf_dir)
+    stored = blocks.to_blocks(coo, w.M)
+    stored = stored.where("brow <= bcol") if half else stored
+    n = (w.vertices(spark, sf_dir).agg(F.max("id")).first()[0] // w.M + 1) * w.M
+    blockmatrix.write_blocks(stored, path, n, w.M, width)
+    return path
+
+
+def _block_sql(top: int) -> str:
+    return f"WITH s AS ({w.S_SQL}) SELECT i, k AS j, least(x, {top}) AS v FROM s WHERE x <> 0"
+
+
+@_query(_block_sql(blocks.U32))
+def source_blocks_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blockmatrix.read_blocks(spark, _block_file(spark, sf_dir, 4), 4, records=5000), w.M)
+
+
+@_query(_block_sql(blocks.U16))
+def source_blocks_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blockmatrix.read_blocks(spark, _block_file(spark, sf_dir, 2), 2), w.M)
+
+
+@_query(_block_sql(255))
+def source_blocks_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.to_coo(blockmatrix.read_blocks(spark, _block_file(spark, sf_dir, 1), 1), w.M)
+
+
+@_query(_block_sql(blocks.U32))
+def source_blocks_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the blocks are stored; the reader's caller mirrors them."""
+    stored = blockmatrix.read_blocks(spark, _block_file(spark, sf_dir, 4, half=True), 4)
+    return blocks.to_coo(blocks.mirror_blocks(stored, w.M), w.M)
+
+
+@_query(
+    f"WITH s AS ({w.S_SQL}) SELECT cast((SELECT max(p_partkey) // {w.M} + 1 FROM part) * {w.M} AS BIGINT) AS n, cast({w.M} AS BIGINT) AS m, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT i // {w.M}, k // {w.M} FROM s WHERE x <> 0)) AS k"
+)
+def source_block_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([blockmatrix.header(_block_file(spark, sf_dir, 1))], "n bigint, m bigint, k bigint")
+
+
+@_query(E)
+def source_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, offsets = _file(spark, "graph"), _file(spark, "offsets")
+    top = w.vertices(spark, sf_dir).agg(F.max("id")).first()[0]
+    adjacency.write_adjacency(written(w.edges(spark, sf_dir), "edges"), top + 1, path, offsets)
+    return adjacency.read_adjacency(spark, path, offsets, vertices=500)[0]
+
+
+@_query(E)
+def source_adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = written(w.edges(spark, sf_dir), "edges")
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.concat_ws(" ", F.sort_array(F.collect_list("v")).cast("array<string>")).alias("near"), F.count("*").alias("n"))
+    lines = near.select(F.col("u").alias("o"), F.concat_ws(" ", "u", "n", "near").alias("value"))
+    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("o"), F.lit("0 0").alias("value"))
+    return adjacency.read_adjacency_text(spark, _as_text(head.unionByName(lines).orderBy("o").select("value"), "graph"))[0]
+
+
+TIMINGS = ((1, 1, 64.0), (1, 2, 40.0), (2, 2, 16.0), (2, 4, 10.0), (4, 4, 8.0))
+
+
+@_query(
+    "WITH t(processes, threads, seconds) AS (VALUES " + ", ".join(f"({p}, {t}, cast({s} AS DOUBLE))" for p, t, s in TIMINGS) + "), x AS (SELECT *, 64.0::DOUBLE / seconds AS speedup, (processes * threads)::DOUBLE AS p FROM t) "
+    "SELECT processes, threads, seconds, speedup, speedup / p AS efficiency, CASE WHEN p = 1 THEN NULL ELSE (1 / speedup - 1 / p) / (1 - 1 / p) END AS serial_fraction, p * seconds - 64.0 AS overhead FROM x"
+)
+def source_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, "timings")
+    spark.createDataFrame(TIMINGS, "processes int, threads int, seconds double").coalesce(1).write.csv(path, header=True)
+    return text.read_timings(spark, path)
+
+
+@_query(f"SELECT string_agg(found, ' ' ORDER BY k) AS value FROM ({' UNION ALL '.join(map(_found_sql, range(SWEEP[0], SWEEP[1] + 1)))})")
+def sink_flag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.text(_as_text(text.flag_lines(truss_sweep(spark, sf_dir)), "flags"))
+
+
+@_query(
+    f"WITH {_truss_sql()}, {LABELS}, m AS (SELECT string_agg(id, ' ' ORDER BY id) AS value FROM labels GROUP BY component) SELECT cast(count(*) AS VARCHAR) AS value FROM m UNION ALL SELECT value FROM m"
+)
+def sink_component_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.text(_as_text(text.component_lines(component_members(_labels(spark, sf_dir))), "components"))
+
+
+@_query(
+    f"WITH {_truss_sql()}, {LABELS}, {TOUCHED}, i AS (SELECT id FROM counts WHERE n_components >= {P}) "
+    "SELECT cast(count(*) AS VARCHAR) AS value FROM i UNION ALL SELECT string_agg(id, ' ' ORDER BY id) FROM i HAVING count(*) > 0"
+)
+def sink_influencer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.text(_as_text(text.influencer_lines(influencers(spark, sf_dir).select("id")), "influencers"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"(cast({u} AS BIGINT), cast({v} AS BIGINT))" for u, v in sorted({(min(e), max(e)) for e in graph.SMALL_GRAPH})) + ") t(u, v)")
+def graph_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.small_graph(spark)
+
+
+@_query(f"SELECT {w.N_RANGES} + 1 AS n")
+def range_count_with_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(ranges.count_with_dummy(w.ranges(spark)),)], "n int")
+
+
+@_query(f"WITH {CLASSIFIED} SELECT pos, key, cast(0 AS INTEGER) AS range_id FROM c")
+def range_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.reset(_classified(spark, sf_dir))

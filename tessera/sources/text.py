@@ -28,12 +28,12 @@ def read_keys(spark: SparkSession, path: str, most: int | None = None) -> DataFr
 
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:
-    """Timing table with processes, threads and time: adds speed-up, efficiency and serial fraction against 1 x 1."""
+    """Timing table with processes, threads and time: adds speed-up, efficiency, serial fraction and overhead (p times seconds, less the time of 1 x 1)."""
     table = spark.read.csv(path, header=True, schema="processes int, threads int, seconds double")
     one = table.where("processes = 1 AND threads = 1").agg(F.min("seconds").alias("one"))
     p = F.col("processes") * F.col("threads")
     out = table.crossJoin(F.broadcast(one)).withColumn("speedup", F.try_divide("one", "seconds"))
-    return out.select("processes", "threads", "seconds", "speedup", (F.col("speedup") / p).alias("efficiency"), F.try_divide(1 / F.col("speedup") - 1 / p, 1 - 1 / p).alias("serial_fraction"))
+    return out.select("processes", "threads", "seconds", "speedup", (F.col("speedup") / p).alias("efficiency"), F.try_divide(1 / F.col("speedup") - 1 / p, 1 - 1 / p).alias("serial_fraction"), (p * F.col("seconds") - F.col("one")).alias("overhead"))
 
 
 def flag_lines(flags: DataFrame, joined: bool = True) -> DataFrame:

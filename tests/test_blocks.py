@@ -92,3 +92,27 @@ def test_file_round_trip(spark, tmp_path, width, top):
     assert {(r["brow"], r["bcol"]): r["data"] for r in got.collect()} == want and got.rdd.getNumPartitions() == 4
     with pytest.raises(Exception, match="size"):
         blockmatrix.read_blocks(spark, path, {1: 2, 2: 4, 4: 1}[width]).count()
+
+
+def test_products_of_blocks(spark):
+    import numpy as np
+
+    rng, m, n = np.random.default_rng(2), 3, 4
+    a, b = (rng.integers(0, 9, (n * m, n * m)) for _ in range(2))
+    cut = lambda x: spark.createDataFrame([(i, j, x[i * m : i * m + m, j * m : j * m + m].ravel().tolist()) for i in range(n) for j in range(n)], op.BLOCKS)
+    folds = {"plus_times": (np.multiply, np.sum), "min_plus": (np.add, np.min), "max_plus": (np.add, np.max), "max_min": (np.minimum, np.max), "min_max": (np.maximum, np.min)}
+    for name, (inner, outer) in folds.items():
+        want = outer(inner(a[:, :, None], b[None, :, :]), axis=1)
+        for r in op.multiply_blocks(cut(a), cut(b), m, name, cap=150).collect():
+            i, j = r["brow"] * m, r["bcol"] * m
+            assert r["data"] == np.minimum(want[i : i + m, j : j + m], 150).ravel().tolist()
+    upper = op.multiply_blocks(cut(a), cut(b), m, upper=True).collect()
+    assert sorted((r["brow"], r["bcol"]) for r in upper) == [(i, j) for i in range(n) for j in range(i, n)]
+    assert op.multiply_blocks(cut(a).limit(0), cut(b), m).count() == 0
+
+
+def test_csr_index_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 3)
+    rows = [(0, 1), (0, 2), (4, 1), (7, 7), (7, 8), (7, 9)]
+    got = op.csr_index(spark.createDataFrame(rows, "brow int, bcol int"), 9)
+    assert sorted(map(tuple, got.collect())) == [(i, sum(r < i for r, _ in rows)) for i in range(10)]

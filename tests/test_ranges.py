@@ -67,3 +67,15 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM classified").collect()), key=str) == brute([(i, i) for i in range(50)], ROWS)
+
+
+def test_both_paths_give_the_same_rows(spark):
+    keys = [(1, 5), (1, 5), (2, None), (3, -7), (4, 10**12), (5, 2**62), (5, 99), (6, -(2**62)), (7, 0)]
+    rows = [(1, 0, 4), (2, 5, 5), (3, -8, -7), (4, -(2**61), 2**61), (5, 98, 100), (6, 9, 3), (7, 2**62 - 1, 2**62 + 1)]
+    frame, given = spark.createDataFrame(keys, "pos bigint, key bigint"), op.ranges_frame(spark, rows)
+    for strict in (False, True):
+        got = [sorted(map(tuple, op.classify(frame, given, strict, most).collect()), key=str) for most in (100, 3)]
+        assert got[0] == got[1] and len(got[0]) == len(keys)
+    assert sorted(map(tuple, op.classify(frame, given, max_local=0).collect()), key=str) == sorted(
+        ((p, k, next((r for r, lo, hi in rows if k is not None and lo <= k <= hi), 0)) for p, k in keys), key=str
+    )
