@@ -4,7 +4,8 @@ A map-only plan: each batch of texts is encoded and decoded where it was read; n
 each Python worker compiles the automaton once.
 
 Defined results: null and empty texts have no ids, and decode to the empty text; very long words cost time in
-proportion to their length; repeated rows each give a row; extra columns are ignored.
+proportion to their length; repeated rows each give a row; a null doc_id is carried along; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,13 +5,20 @@ import gc
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions.storage import dropped, load, shared_dir, written
 
-__all__ = ["claim", "dropped", "load", "shared_dir", "written"]
+__all__ = ["claim", "dropped", "load", "shared_dir", "whole_rows", "written"]
 _CACHES: dict[str, Callable[[], None]] = {}
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns of docs inside, so that no name in docs clashes with a helper column."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
 def claim(name: str, forget: Callable[[], None]) -> None:
     """Called by an operator that keeps a cache in its Python worker: the other operators' caches there are emptied.
 

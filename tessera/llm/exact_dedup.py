@@ -9,7 +9,8 @@ partitions adaptive execution splits.
 
 Defined results: null text counts as empty; a null doc_id sorts after all others; rows that repeat a doc_id are one
 document stated more than once (each counts in group_size, and ``kept`` is true for each if their doc_id is kept).
-Extra columns are ignored by ``exact_dedup`` and carried by ``keep_one``.  An empty table gives an empty result.
+Very long texts are hashed whole, in time proportional to their length.  Extra columns, whatever their names, are ignored
+by ``exact_dedup`` and carried by ``keep_one``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, load, written
+from tessera.llm.common import dropped, load, whole_rows, written
 
 OUT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -83,14 +84,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A document is a doc_id with a normalised text: different texts that share a doc_id (or have none) are told apart.
     Of the rows of one document that with the longest text stays (then the largest text and other columns).
     """
-    own = F.sha2(normalised(F.col("text")), 256)
-    flags = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__times"))
-    flags = flags.withColumnsRenamed({"doc_id": "__id", "text_sha256": "__of"})
-    kept = docs.withColumn("__sha", own).join(flags, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")))
-    once = kept.where("__times = 1").select(*docs.columns)
-    row = F.struct(*docs.columns)
-    order = F.struct(F.char_length(F.coalesce(F.col("text"), F.lit(""))), F.col("text"), F.to_json(row))
-    more = kept.where("__times > 1").groupBy("doc_id", "__sha").agg(F.max_by(row, order).alias("__row")).select("__row.*")
+    rows = whole_rows(docs).select("row", F.col("row.doc_id").alias("id"), F.sha2(normalised(F.col("row.text")), 256).alias("sha"))
+    flags = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(F.count("*").alias("times"))
+    kept = rows.join(flags, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
+    once = kept.where("times = 1").select("row.*")
+    order = F.struct(F.char_length(F.coalesce(F.col("row.text"), F.lit(""))), F.col("row.text"), F.to_json("row"))
+    more = kept.where("times > 1").groupBy("id", "sha").agg(F.max_by("row", order).alias("row")).select("row.*")
     return once.unionByName(more)
 
 

@@ -10,11 +10,14 @@ of them (less if there are over 16 languages), in equal spans from anywhere in t
 The commonest letters are one symbol each, and every other letter of the sample is spelt in hexadecimal symbols, so none
 of them are confused; letters that no language's sample has are one symbol.
 The automata are completed to dense tables (a missing transition ends a phrase and starts the next at the root), so
-prediction is one table look-up for each character and language, run over many pieces of text at once.  Prediction is
-map-only.  The broadcast tables have at most 2 * ALPHABET places for each symbol of the sample.
+prediction is one table look-up for each character and language, run over many pieces of text at once.  A piece has PIECE
+symbols, and its last phrase ends with it in every language alike, so very long texts add at most one phrase for each.
+Prediction is map-only.  The broadcast tables have at most 2 * ALPHABET places for each symbol of the sample.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; if there are no labelled rows every
-text gets ``und``; ties go to the language that comes first in alphabetical order; extra columns are ignored.
+text gets ``und``; ties go to the language that comes first in alphabetical order; rows that repeat another are learned
+once and each give a row; very long texts are read whole; a null doc_id is carried along; extra columns, whatever their
+names, are ignored by ``identify`` and kept by ``keep_identified``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import claim, load
+from tessera.llm.common import claim, load, whole_rows
 
 ALPHABET, PIECE, LANES = 64, 512, 4096
 LETTERS, SPELT = 45, 255  # how many letters are a symbol; mark of the others
@@ -243,14 +246,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language is known (not ``und``), all columns as they were."""
     shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared, name)
         for b in batches:
-            yield b.filter(pa.array([x != "und" for x in own.predict(b.column(at).to_pylist())[0]], pa.bool_()))
+            cols = b.column(0).flatten()
+            known = pa.array([x != "und" for x in own.predict(cols[at].to_pylist())[0]], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names).filter(known)
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_rows(docs).mapInArrow(run, docs.schema)
 
 
 _MODELS: dict[str, Model] = {}

@@ -15,7 +15,8 @@ few words for the threshold are passed over, and places that share a diagonal ar
 Defined results: null and empty texts, and texts without a notice, have no findings (``licenses`` is then an empty
 array, ``license`` and ``coverage`` null); one insertion of more words than the notice has (and a quarter) divides it, its
 halves are then told apart; repeated rows each give a row; a notice that occurs several times is found
-each time; extra columns are ignored.
+each time; very long texts are read whole, and a word that is no start costs one look-up; a null doc_id is carried
+along; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ No bucket is gathered in one task: all steps are comparisons of bounded blocks,
 equi-joins whose large partitions adaptive execution splits.  Texts travel only for members of buckets with several members.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows that share a
-doc_id are one document; rows with a null doc_id are linked with nothing and their component_id is null; extra columns
-are ignored by ``near_duplicates`` and kept by ``keep_representatives``.
+doc_id are one document; rows with a null doc_id are linked with nothing and their component_id is null; very long
+texts are read whole, with memory in proportion to their words; extra columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``keep_representatives``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import claim, dropped, load, written
+from tessera.llm.common import claim, dropped, load, whole_rows, written
 from tessera.operators.components import components
 
 BANDS, ROWS = 40, 5
@@ -274,8 +275,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
 
 def keep_representatives(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, all columns as they were."""
-    kept = near_duplicates(docs, size, threshold).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    kept = near_duplicates(docs, size, threshold).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return whole_rows(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row.*")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

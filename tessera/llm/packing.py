@@ -8,10 +8,11 @@ even the best multiset leaves slack, one more document is cut to fill it.  What
 laid end to end; its last part is cut into sequences whose lengths are powers of two, which need no padding.
 
 Sequence ids are the partition's number times 2^33 plus a running number: unique, and the same when a lost partition
-is computed again, since a partition is always the same part of the input.
+is computed again, if a partition is always the same rows in the same order: so it is for files, which the query and the
+pipeline read; other inputs should be written first.
 
 Defined results: null text counts as empty and an empty document is its closing id alone; repeated rows are packed as
-often as they occur; a null doc_id is carried along; extra columns are ignored; an empty table gives no pieces.
+often as they occur; very long texts give many full sequences; a null doc_id is carried along; extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest, xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import claim, dropped, load, written
+from tessera.llm.common import claim, dropped, load, whole_rows, written
 
 _BUFFER, _BITS = 1 << 19, 21  # tokens hashed at a time; bits that hold a place in them
 _PLACE = np.uint64((1 << _BITS) - 1)
@@ -309,8 +309,7 @@ def strip(docs: DataFrame, tokens: Tokens = WORDS) -> DataFrame:
                 cols[chars] = pa.array([len(t or "") for t in texts], pa.int64()).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.struct(*names).alias("row"))
-    keyed = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("row.text").alias("th"))
+    keyed = whole_rows(docs).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("row.text").alias("th"))
     return _with_ranges(keyed, repeated(docs.select("doc_id", "text"), tokens), ("lo", "hi"), "left").select("row", "ranges").mapInArrow(run, schema)
 
 

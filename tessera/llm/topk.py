@@ -18,7 +18,8 @@ Scores are exact: products are computed in float64 while every sum stays below 2
 Defined results: null vectors and vectors holding null or non-finite components take no part; scaled components and scores beyond a long
 are the nearest long; ties go to the smaller
 vec_id; a query with fewer than k candidates returns all; rows that share a query's vec_id are its own; vectors of
-unequal length are compared with those of their own length only; null vec_ids take no part; extra columns are ignored.
+unequal length are compared with those of their own length only; null vec_ids take no part; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -49,6 +49,15 @@ def test_keep_one_merges_no_different_texts(spark):
     assert sorted((r["doc_id"], r["text"]) for r in op.keep_one(frame(spark, copies)).collect()) == [(1, "long  copy"), (2, "own text")]
 
 
+def test_keep_one_keeps_columns_named_like_its_own(spark):
+    names = ["doc_id", "text", "row", "id", "sha", "times", "kept_id", "kept_sha", "kept", "group_size", "__times", "a.b", "h", "norm"]
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in ((1, "same words"), (2, "samewords"), (2, "other"), (None, "third"), (None, "third"))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = op.keep_one(docs)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def test_empty(spark):
     assert op.exact_dedup(frame(spark, [])).count() == 0
     assert op.keep_one(frame(spark, [])).count() == 0

@@ -55,6 +55,16 @@ def test_prediction_does_not_depend_on_batches():
     assert model.predict(texts) == tuple(map(list, zip(*[(x[0], y[0]) for x, y in (model.predict([t]) for t in texts)])))
 
 
+def test_very_long_and_repeated_texts(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat " * 30, "a"), ("le chat est sur la table " * 30, "b")])]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    model, once = op.train(docs), op.train(spark.createDataFrame(rows, docs.schema))
+    assert (model.table == once.table).all() and model.langs == once.langs
+    # whole texts count: the first part is of the other language, and shorter
+    text = "the cat sat " * 30_000 + "le chat est sur " * 60_000
+    assert model.predict([text, text + "the cat sat on the mat " * 90_000])[0] == ["b", "a"]
+
+
 def test_every_language_and_every_letter_counts(spark):
     import random
 

@@ -80,6 +80,13 @@ def test_query_rows(spark):
     assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_very_long_text():
+    name, notice = op.NOTICES[0]
+    text = "plain words of a long text " * 60_000 + notice + " and more of the words" * 60_000
+    ((found, coverage, begin, end),) = op.Scanner(op.NOTICES, op.THRESHOLD).find(text)
+    assert (found, coverage) == (name, 1.0) and text[begin:end].split()[0].lower() in notice.lower() and begin >= 27 * 60_000
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in op.op1_license_scan(spark, "/root/testdata/sf0.01").collect()}

@@ -76,6 +76,26 @@ def test_keep_representatives(spark):
     assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in op.near_duplicates(docs).where("kept").collect()}
 
 
+def test_columns_named_like_helpers_stay(spark):
+    names = ["doc_id", "text", "row", "id", "kept", "class", "component_id", "__id", "a.b", "n", "minima"]
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in ((3, "a b c d e f g"), (5, "A b c d e f g"), (6, None), (None, "a b c d e f g"), (7, "z"), (7, "z"))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = op.keep_representatives(docs)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    near, far = list(base), list(base)
+    for i in rng.sample(range(len(base)), 8_000):
+        near[i] = "changed"
+    for i in rng.sample(range(len(base)), 40_000):
+        far[i] = "changed"
+    check(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "short")], 2)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 300), (300, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

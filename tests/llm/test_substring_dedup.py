@@ -109,6 +109,16 @@ def test_strip(spark):
             assert r["n_chars"] == len(r["text"])
 
 
+def test_strip_keeps_columns_named_like_its_own(spark):
+    names = ["doc_id", "text", "row", "did", "th", "ranges", "lo", "hi", "a.b"]
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in ((1, f"one {shared} end"), (2, f"two {shared}"), (3, "alone"))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = sorted(map(tuple, op.strip(docs).collect()))
+    assert [r[:1] + r[2:] for r in got] == [r[:1] + r[2:] for r in rows]
+    assert [r[1].split() for r in got] == [["one", "end"], ["two"], ["alone"]]
+
+
 def test_strip_of_bytes(spark):
     rows = cases(4, 20)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, th string")
