@@ -1,11 +1,13 @@
-"""Command line: python -m tessera classify|multiply|square|truss|influencers ..."""
+"""Command line: python -m tessera classify|inspect|multiply|square|truss|influencers ..."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions.storage import written
 from tessera.operators import blocks, influence, ranges
 from tessera.operators.components import component_members, components
 from tessera.operators.truss import truss, truss_sweep
@@ -29,6 +31,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("matrix")
     p.add_argument("out")
     p.add_argument("--semiring", default="plus_times")
+    for p in (sub.choices["multiply"], sub.choices["square"]):
+        p.add_argument("--parts", action="store_true", help="write a folder of parts instead of one file")
+    p = sub.add_parser("inspect", help="print what a file holds")
+    p.add_argument("kind", choices=("ranges", "keys", "blocks", "graph"))
+    p.add_argument("path")
+    p.add_argument("--offsets")
+    p.add_argument("--width", type=int, default=2)
+    p.add_argument("--most", type=int, default=20, help="how many lines")
     for name in ("truss", "influencers"):
         p = sub.add_parser(name)
         p.add_argument("--graph", required=True)
@@ -41,24 +51,43 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def inspected(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """value: a line for each range, key, block or vertex of a file, in order."""
+    if a.kind == "ranges":
+        return text.range_inspection(text.read_ranges(spark, a.path))
+    if a.kind == "keys":
+        return text.key_inspection(text.read_keys(spark, a.path, a.most))
+    if a.kind == "blocks":
+        return text.block_inspection(blockmatrix.read_blocks(spark, a.path, a.width))
+    return text.graph_inspection(*adjacency.read_adjacency(spark, a.path, a.offsets))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     if a.task == "classify":
         found = ranges.classify(text.read_keys(spark, a.keys, a.most), text.read_ranges(spark, a.ranges), a.strict)
         ranges.partition_sort(found).write.mode("overwrite").parquet(a.out)
+    elif a.task == "inspect":
+        for r in inspected(spark, a).limit(a.most).collect():
+            print(r["value"])
     elif a.task == "multiply":
         n, m, _ = blockmatrix.header(a.left)
-        x, y = (blocks.to_coo(blockmatrix.read_blocks(spark, p, 2), m) for p in (a.left, a.right))
-        product = blocks.multiply(x.toDF("i", "k", "x"), y.toDF("k", "j", "y"))
-        blockmatrix.write_blocks(blocks.to_blocks(product, m), a.out, n, m, 4)
+        x, y = (blockmatrix.read_blocks(spark, p, 2) for p in (a.left, a.right))
+        product = blocks.multiply_blocks(x, y, m).where(F.exists("data", lambda v: v != 0))
+        blockmatrix.write_blocks(product, a.out, n, m, 4, single=not a.parts)
     elif a.task == "square":
         n, m, _ = blockmatrix.header(a.matrix)
         half = blockmatrix.read_blocks(spark, a.matrix, 1)
         if not blocks.duplicates(half).isEmpty():
             raise ValueError("a block is given twice")
-        whole = blocks.to_coo(blocks.mirror_blocks(half, m), m).toDF("i", "k", "x")
-        blockmatrix.write_blocks(blocks.to_blocks(blocks.square_upper(whole, m, a.semiring), m), a.out, n, m, 2)
+        whole = written(blocks.mirror_blocks(half, m), "mirrored")
+        if a.semiring == "plus_times":
+            # rows times rows: blocks on the diagonal needn't be symmetric
+            square = blocks.multiply_blocks(whole, blocks.transpose_blocks(whole, m), m, cap=blocks.U16, upper=True).where(F.exists("data", lambda v: v != 0))
+        else:  # absent elements take no part in the other semirings
+            square = blocks.to_blocks(blocks.square_upper(blocks.to_coo(whole, m).toDF("i", "k", "x"), m, a.semiring), m)
+        blockmatrix.write_blocks(square, a.out, n, m, 2, single=not a.parts)
     else:
         edges, vertices = adjacency.read_adjacency(spark, a.graph, a.offsets)
         if a.task == "truss":

@@ -48,10 +48,15 @@ def mirror(coo: DataFrame) -> DataFrame:
     return coo.unionByName(coo.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
+def transpose_blocks(blocks: DataFrame, m: int) -> DataFrame:
+    """The transposed matrix."""
+    turned = F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda p: F.get("data", (p % m) * m + F.call_function("div", p, F.lit(m)).cast("int")))
+    return blocks.select(F.col("bcol").alias("brow"), F.col("brow").alias("bcol"), turned.alias("data"))
+
+
 def mirror_blocks(blocks: DataFrame, m: int) -> DataFrame:
     """Adds the transposed block of each one off the diagonal."""
-    turned = F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda p: F.get("data", (p % m) * m + F.call_function("div", p, F.lit(m)).cast("int")))
-    return blocks.unionByName(blocks.where("brow <> bcol").select(F.col("bcol").alias("brow"), F.col("brow").alias("bcol"), turned.alias("data")))
+    return blocks.unionByName(transpose_blocks(blocks.where("brow <> bcol"), m))
 
 
 def duplicates(blocks: DataFrame) -> DataFrame:

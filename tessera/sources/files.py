@@ -16,6 +16,16 @@ def size(path: str) -> int:
     return system.get_file_info(name).size
 
 
+def exists(path: str) -> bool:
+    system, name = _at(path)
+    return system.get_file_info(name).type == fs.FileType.File
+
+
+def make_folder(path: str) -> None:
+    system, name = _at(path)
+    system.create_dir(name, recursive=True)
+
+
 def read(path: str, begin: int, length: int) -> bytes:
     system, name = _at(path)
     with system.open_input_file(name) as f:

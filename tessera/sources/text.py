@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import ranges
+from tessera.operators.graph import symmetric
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +61,35 @@ def influencer_lines(found: DataFrame, reach: DataFrame | None = None) -> DataFr
     return count.unionByName(lines).orderBy("o", "i").select("value")
 
 
+def range_inspection(found: DataFrame) -> DataFrame:
+    """value: id, lower and upper end of each range, by id."""
+    return found.orderBy("range_id").select(F.format_string("%d: %d, %d", "range_id", "lo", "hi").alias("value"))
+
+
+def key_inspection(keys: DataFrame) -> DataFrame:
+    """value: place, key and range id (-1 where there is none yet) of each key, by place."""
+    value = F.coalesce("range_id", F.lit(-1)) if "range_id" in keys.columns else F.lit(-1)
+    return keys.orderBy("pos").select(F.format_string("%d: %d -- %d", "pos", "key", value).alias("value"))
+
+
+def count_inspection(histogram: DataFrame) -> DataFrame:
+    """value: range id and count, by id."""
+    return histogram.orderBy("range_id").select(F.format_string("%d:%d", "range_id", "cnt").alias("value"))
+
+
+def block_inspection(blocks: DataFrame) -> DataFrame:
+    """value: place and elements of each block, by place."""
+    data = F.concat_ws(" ", F.col("data").cast("array<string>"))
+    return blocks.orderBy("brow", "bcol").select(F.concat(F.format_string("row %d, col %d: ", "brow", "bcol"), data).alias("value"))
+
+
+def graph_inspection(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """value: id, degree and (ascending) neighbours of each vertex, by id; those without neighbours too."""
+    near = symmetric(edges).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near"))
+    every = vertices.select("id").join(near, F.col("id") == F.col("src"), "left").select("id", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    return every.orderBy("id").select(F.concat(F.format_string("vertex %d, degree %d: ", "id", F.size("near")), F.concat_ws(" ", F.col("near").cast("array<string>"))).alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Writes ordered lines as text, in order, in as many files as there are partitions."""
     lines.write.mode("overwrite").text(path)

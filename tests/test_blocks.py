@@ -94,6 +94,47 @@ def test_file_round_trip(spark, tmp_path, width, top):
         blockmatrix.read_blocks(spark, path, {1: 2, 2: 4, 4: 1}[width]).count()
 
 
+@pytest.mark.parametrize("records", [0, 5])
+def test_folder_of_parts(spark, tmp_path, records, monkeypatch):
+    monkeypatch.setattr(blockmatrix, "READ_BYTES", 60)
+    blocks, path = op.random_blocks(spark, 24, 3, 17, 999, seed=7), str(tmp_path / "m")
+    blockmatrix.write_blocks(blocks.repartition(3), path, 24, 3, 2, single=False)
+    assert blockmatrix.header(path) == (24, 3, 17)
+    want = {(r["brow"], r["bcol"]): r["data"] for r in blocks.collect()}
+    assert {(r["brow"], r["bcol"]): r["data"] for r in blockmatrix.read_blocks(spark, path, 2, records).collect()} == want
+    with pytest.raises(Exception, match="size"):
+        blockmatrix.read_blocks(spark, path, 4).count()
+    none = str(tmp_path / "none")
+    blockmatrix.write_blocks(blocks.limit(0), none, 24, 3, 2, single=False)
+    assert blockmatrix.header(none) == (24, 3, 0) and blockmatrix.read_blocks(spark, none, 2).count() == 0
+
+
+def test_command_line_products(spark, tmp_path, capsys, monkeypatch):
+    from tessera import __main__ as cli
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    m, n = 3, 12
+    left, right = op.random_blocks(spark, n, m, 9, 50, seed=1), op.random_blocks(spark, n, m, 9, 50, seed=2)
+    a, b, s, out = (str(tmp_path / x) for x in "absc")
+    blockmatrix.write_blocks(left, a, n, m, 2)
+    blockmatrix.write_blocks(right, b, n, m, 2)
+    blockmatrix.write_blocks(left.where("brow <= bcol"), s, n, m, 1)
+    coo = lambda x, names: op.to_coo(x, m).toDF(*names)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    want = rows(op.multiply(coo(left, "ikx"), coo(right, "kjy")))
+    for more in ([], ["--parts"]):
+        cli.main(["multiply", a, b, out + "".join(more), *more])
+        assert rows(op.to_coo(blockmatrix.read_blocks(spark, out + "".join(more), 4), m)) == want
+    half = op.to_coo(op.mirror_blocks(left.where("brow <= bcol"), m), m).toDF("i", "k", "x")
+    for semiring in ("plus_times", "max_plus"):
+        cli.main(["square", s, out + semiring, "--semiring", semiring])
+        assert rows(op.to_coo(blockmatrix.read_blocks(spark, out + semiring, 2), m)) == rows(op.square_upper(half, m, semiring))
+    cli.main(["inspect", "blocks", a, "--most", "3"])
+    lines = capsys.readouterr().out.splitlines()
+    first = min(left.collect(), key=lambda r: (r["brow"], r["bcol"]))
+    assert len(lines) == 3 and lines[0] == f"row {first['brow']}, col {first['bcol']}: {' '.join(map(str, first['data']))}"
+
+
 def test_products_of_blocks(spark):
     import numpy as np
 

@@ -116,5 +116,10 @@ def test_files(spark, tmp_path):
     row = text.read_timings(spark, str(tmp_path / "c.csv")).where("processes = 2").first()
     assert (row["speedup"], row["efficiency"]) == (2.0, 0.5) and row["serial_fraction"] == pytest.approx(1 / 3)
     assert [r["value"] for r in text.flag_lines(spark.createDataFrame([(2, 0), (1, 1)], "k int, found int")).collect()] == ["1 0"]
+    values = lambda lines: [r["value"] for r in lines.collect()]
+    assert values(text.graph_inspection(frame(spark, [(0, 1), (0, 2)]), spark.range(4))) == ["vertex 0, degree 2: 1 2", "vertex 1, degree 1: 0", "vertex 2, degree 1: 0", "vertex 3, degree 0: "]
+    assert values(text.range_inspection(text.read_ranges(spark, str(tmp_path / "r")))) == ["1: 0, 10", "2: 10, 20"]
+    assert values(text.key_inspection(spark.createDataFrame([(1, 15), (0, 3)], "pos long, key long"))) == ["0: 3 -- -1", "1: 15 -- -1"]
+    assert values(text.count_inspection(spark.createDataFrame([(1, 4), (0, 2)], "range_id int, cnt long"))) == ["0:2", "1:4"]
     lines = text.component_lines(spark.createDataFrame([(4, 2, [4, 5]), (1, 2, [1, 2])], "component long, size long, members array<long>"))
     assert [r["value"] for r in lines.collect()] == ["2", "1 2", "4 5"]
