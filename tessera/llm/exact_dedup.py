@@ -86,10 +86,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = whole_rows(docs).select("row", F.col("row.doc_id").alias("id"), F.sha2(normalised(F.col("row.text")), 256).alias("sha"))
     flags = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(F.count("*").alias("times"))
-    kept = rows.join(flags, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
-    once = kept.where("times = 1").select("row.*")
+    flags = written(flags, "dedup-kept")
+    # null-safe on the digest too: a plain equality would have every text hashed again to see that it isn't null
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & F.col("sha").eqNullSafe(F.col("kept_sha"))
+    once = rows.join(flags.where("times = 1"), same).select("row.*")
+    stated_again = flags.where("times > 1")
+    if stated_again.isEmpty():
+        return once
     order = F.struct(F.char_length(F.coalesce(F.col("row.text"), F.lit(""))), F.col("row.text"), F.to_json("row"))
-    more = kept.where("times > 1").groupBy("id", "sha").agg(F.max_by("row", order).alias("row")).select("row.*")
+    more = rows.join(stated_again, same).groupBy("id", "sha").agg(F.max_by("row", order).alias("row")).select("row.*")
     return once.unionByName(more)
 
 
