@@ -14,6 +14,7 @@ take it by their key; both paths give the same rows.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,11 +39,23 @@ def admit(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
     A pair is rejected only if one of its ends lies strictly inside an accepted range; so repeats of a range and
     ranges around an accepted one are accepted.  Each decision depends on those before it.
+    The accepted ranges' insides are kept as disjoint open intervals in order, so a decision is two binary searches.
     """
     accepted: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def inside(x: int) -> bool:
+        i = bisect_left(starts, x) - 1  # the last interval that starts before x
+        return i >= 0 and x < ends[i]
+
     for lo, hi in pairs:
-        if not any(a < lo < b or a < hi < b for _, a, b in accepted):
-            accepted.append((len(accepted) + 1, lo, hi))
+        if inside(lo) or inside(hi):
+            continue
+        accepted.append((len(accepted) + 1, lo, hi))
+        if lo < hi:  # no interval reaches over an end, so those from lo on that start before hi lie in the new one
+            a, b = bisect_left(starts, lo), bisect_left(starts, hi)
+            starts[a:b], ends[a:b] = [lo], [hi]
     return accepted
 
 

@@ -16,9 +16,12 @@ def _numbers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """range_id, lo, hi of the pairs ``lo hi`` that are admitted, in file order; for lists that fit the driver."""
-    numbers = [r["key"] for r in _numbers(spark, path).orderBy("line", "at").collect()]
-    return ranges.ranges_frame(spark, ranges.admit(zip(numbers[::2], numbers[1::2], strict=False)))
+    """range_id, lo, hi of the pairs ``lo hi`` that are admitted, in file order.
+
+    Admission is sequential: the driver reads the pairs one partition at a time and holds those it accepts.
+    """
+    numbers = (r["key"] for r in _numbers(spark, path).orderBy("line", "at").toLocalIterator())
+    return ranges.ranges_frame(spark, ranges.admit(zip(numbers, numbers, strict=False)))
 
 
 def read_keys(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:

@@ -39,6 +39,18 @@ def test_admission_depends_on_order():
     assert op.admit([(5, 7), (0, 10)]) == [(1, 5, 7), (2, 0, 10)]
 
 
+def test_admission_against_comparing_with_every_accepted_range():
+    rng = random.Random(3)
+    for top in (4, 8, 30, 200):
+        for _ in range(300):
+            pairs = [(rng.randint(-top, top), rng.randint(-top, top)) for _ in range(rng.randint(0, 30))]
+            want: list[tuple[int, int, int]] = []
+            for lo, hi in pairs:
+                if not any(a < lo < b or a < hi < b for _, a, b in want):
+                    want.append((len(want) + 1, lo, hi))
+            assert op.admit(pairs) == want
+
+
 def test_plan_is_a_broadcast_hash_join(spark):
     frame = op.classify(spark.range(1000).selectExpr("id AS pos", "id AS key"), op.ranges_frame(spark, ROWS))
     plan = frame._jdf.queryExecution().executedPlan().toString()
