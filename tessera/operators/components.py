@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
-Each step is a minimum per vertex (pre-aggregated on the map side) joined back to the edges, so a vertex with a third
-of all edges is never gathered in one task.  Each round is written to the shared folder, which cuts lineage.
+Each step is a minimum per vertex (pre-aggregated on the map side) joined back to the edges.  The minima are tables, so
+that both sides of the join are exchanges and adaptive execution can split a vertex with a third of all edges.  Each
+round is written to the shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "edges")
-        dropped(edges)
-        dropped(large)
+        for x in (edges, least, large, low):
+            dropped(x)
         edges = after
         # a star forest no longer changes: the same number of edges with the same sum of hashes
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
