@@ -123,3 +123,26 @@ def test_files(spark, tmp_path):
     assert values(text.count_inspection(spark.createDataFrame([(1, 4), (0, 2)], "range_id int, cnt long"))) == ["0:2", "1:4"]
     lines = text.component_lines(spark.createDataFrame([(4, 2, [4, 5]), (1, 2, [1, 2])], "component long, size long, members array<long>"))
     assert [r["value"] for r in lines.collect()] == ["2", "1 2", "4 5"]
+
+
+@pytest.mark.parametrize("bundle,run", [(1, 1), (7, 3), (1024, 64)])
+def test_reach_in_bundles(spark, monkeypatch, bundle, run):
+    monkeypatch.setattr(influence, "BUNDLE", bundle)
+    monkeypatch.setattr(influence, "RUN", run)
+    edges = random_edges(5, 60, 90)
+    v, adj = spark.createDataFrame([(i,) for i in range(62)], "id long"), near(edges)
+    labels = brute_components(brute_truss(edges, 1))
+    touch = {i: {labels[x] for x in {i} | adj.get(i, set()) if x in labels} for i in range(62)}
+    for p in (1, 2, -1):
+        want = sorted((i, m) for i, c in touch.items() if 0 <= p <= len(c) for m, of in labels.items() if of in c)
+        assert sorted(map(tuple, influence.influencer_reach(frame(spark, edges), v, 1, p).collect())) == want
+
+
+def test_reach_repeats_take_little_room(spark, tmp_path):
+    edges = [(hub, hub + i) for hub in (0, 1000) for i in range(1, 601)]
+    v = spark.createDataFrame([(i,) for e in edges for i in e], "id long").distinct()
+    reach, out = influence.influencer_reach(frame(spark, edges), v, 0, 1), tmp_path / "reach"
+    reach.write.parquet(str(out))
+    back = spark.read.parquet(str(out))
+    assert back.count() == back.distinct().count() == 2 * 601 * 601
+    assert sum(f.stat().st_size for f in out.rglob("*.parquet")) < back.count() // 3
