@@ -3,9 +3,11 @@
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from test_graph import brute_components, random_edges
 
 import corpus_pipeline
@@ -105,6 +107,20 @@ def test_files_of_lost_attempts_do_not_count(many, monkeypatch):
     assert back.count() == 100 and files(back) == 3
 
 
+def test_shuffles_go_with_their_table(many):
+    def shuffled():
+        found = many._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    back = storage.written(many.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts", workers=True)
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and back.count() == 10
+    assert many.conf.get(storage._CLEANUP, None) is None
+
+
 def test_result_of_op6(many, tmp_path):
     docs = many.read.parquet("/root/testdata/sf0.001/documents.parquet")
     substring_dedup.repeats(docs).write.parquet(str(tmp_path / "op6"))
