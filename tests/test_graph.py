@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -146,3 +147,38 @@ def test_reach_repeats_take_little_room(spark, tmp_path):
     back = spark.read.parquet(str(out))
     assert back.count() == back.distinct().count() == 2 * 601 * 601
     assert sum(f.stat().st_size for f in out.rglob("*.parquet")) < back.count() // 3
+
+
+@pytest.mark.parametrize("slight,most", [(0.0, 0), (0.0, 99), (1.0, 0), (1.0, 99)])
+def test_truss_in_either_order(spark, monkeypatch, slight, most):
+    monkeypatch.setattr(truss, "SLIGHT", slight)
+    monkeypatch.setattr(truss, "WEDGES", most)
+    edges = random_edges(6, 40, 150)
+    e, adj = frame(spark, edges), near(edges)
+    above = [sum(x > v for x in adj[v]) for v in adj]
+    assert graph.wedges_by_id(e) == sum(n * (n - 1) // 2 for n in above) and graph.wedges_by_id(e.where("u < 0")) == 0
+    assert sorted(map(tuple, graph.triangles(e, by_id=True).collect())) == sorted((u, v, w) for u, v in edges for w in adj[u] & adj[v] if w > v)
+    assert set(map(tuple, graph.core(e, 4).collect())) <= set(map(tuple, graph.core(e, 4, slight).collect())) <= set(edges)
+    for k in (1, 2, 9):
+        assert set(map(tuple, truss.truss(e, k).collect())) == brute_truss(edges, k)
+
+
+@pytest.mark.parametrize("links", [random_edges(7, 300, 220), [(i, i + 1) for i in range(-40, 90)], [(i * 7 % 61, i * 11 % 61) for i in range(50)], [(5, 5)]])
+def test_components_at_once(spark, links):
+    found = components(spark.createDataFrame(links, "a long, b long"), 1_000)
+    assert found.dtypes == [("id", "bigint"), ("component", "bigint")]
+    assert sorted(map(tuple, found.collect())) == sorted(brute_components([x for x in links if x[0] != x[1]]).items())
+
+
+def test_reach_takes_few_tables(spark, monkeypatch):
+    made, write = [], components.__globals__["written"]
+    monkeypatch.setitem(components.__globals__, "written", lambda df, name, *a, **b: made.append(name) or write(df, name, *a, **b))
+    edges = [(i, i + 1) for i in range(40)] + [(i, i + 2) for i in range(39)]
+    v = spark.range(42)
+    plan = influence.influencer_reach(frame(spark, edges), v, 1, 1)
+    assert made == ["edges"]
+    steps = re.findall(r"Generate|Repartition", plan._jdf.queryExecution().optimizedPlan().toString())
+    assert steps[:5:2] == ["Generate"] * 3 and steps[1:5:2] == ["Repartition"] * 2  # each explode in a loop of its own
+    assert sorted(map(tuple, plan.collect())) == [(i, m) for i in range(41) for m in range(41)]
+    monkeypatch.setattr(influence, "AT_ONCE", 1)
+    assert sorted(map(tuple, influence.influencer_reach(frame(spark, edges), v, 1, 1).collect())) == [(i, m) for i in range(41) for m in range(41)]
